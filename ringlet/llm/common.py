@@ -7,6 +7,8 @@ a folder of our own is made.
 
 from __future__ import annotations
 
+import posixpath
+import re
 import tempfile
 import uuid
 
@@ -69,3 +71,16 @@ def ascii_lower(text: Column) -> Column:
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that extra columns never clash with ours."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def stable_files(docs: DataFrame, scratch: Scratch) -> tuple[str, str]:
+    """Folder and file pattern that hold exactly ``docs``; writes them where they are no plain scan."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString().strip()
+    found = docs.inputFiles() if plan.startswith("Relation") and "parquet" in plan and "\n" not in plan else []
+    if len(found) == 1:
+        return posixpath.dirname(found[0]), re.sub(r"([\[\]{}*?\\])", r"\\\1", posixpath.basename(found[0]))
+    tops = {posixpath.dirname(f) for f in found}
+    if len(tops) == 1 and len(docs.sparkSession.read.schema(docs.schema).parquet(top := tops.pop()).inputFiles()) == len(found):
+        return top, "*.parquet"
+    scratch.write(docs, "rows")
+    return f"{scratch.path}/rows", "*.parquet"

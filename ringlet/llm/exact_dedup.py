@@ -17,14 +17,12 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import posixpath
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlet.llm.common import Scratch, ascii_lower
+from ringlet.llm.common import Scratch, ascii_lower, stable_files
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -40,19 +38,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _files(docs: DataFrame, scratch: Scratch) -> tuple[str, str]:
-    """Folder and file pattern that hold exactly ``docs``; writes them where they are no plain scan."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString().strip()
-    found = docs.inputFiles() if plan.startswith("Relation") and "parquet" in plan and "\n" not in plan else []
-    if len(found) == 1:
-        return posixpath.dirname(found[0]), re.sub(r"([\[\]{}*?\\])", r"\\\1", posixpath.basename(found[0]))
-    tops = {posixpath.dirname(f) for f in found}
-    if len(tops) == 1 and len(docs.sparkSession.read.schema(docs.schema).parquet(top := tops.pop()).inputFiles()) == len(found):
-        return top, "*.parquet"
-    scratch.write(docs, "rows")
-    return f"{scratch.path}/rows", "*.parquet"
-
-
 def _located(rows: DataFrame, digest: Callable[[Column], Column], *more: Column) -> DataFrame:
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     at = F.struct(
@@ -108,7 +93,7 @@ def groups(
     columns of ``docs`` to return."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    files, schema = _files(docs, scratch), docs.schema
+    files, schema = stable_files(docs, scratch), docs.schema
     state = keyed_state(spark, files, schema, scratch, digest, files_per_trigger)
     scan = spark.read.schema(schema).option("pathGlobFilter", files[1]).parquet(files[0])
     rows = _located(scan, digest, *[F.col(f"`{c}`") for c in carry])
