@@ -6,13 +6,14 @@ than in clean documents are candidates, and a greedy cover takes, one after anot
 candidate that explains most toxic documents left; copies of one document therefore
 do not make its other words toxic.  The field is trained on windows of
 tokens by full-batch gradient steps on its log-likelihood.  Each document is then run through
-forward-backward; its score is the noisy-or of the marginals of its suspicious tokens, and
-tokens over one half give the offending offsets (code points).
+forward-backward.  Its score is a logistic of what the marginals add up to (their noisy-or, the two
+largest, how many are high), with coefficients from the same labelled documents; tokens over
+one half give the offending offsets (code points).
 
 Fitting uses at most ``MOST_TOXIC`` + ``MOST_CLEAN`` labelled documents, chosen by hash; scoring
 covers every whole text.
 
-Defined results: null and blank texts have no tokens and score 0; labels that are null count
+Defined results: null and blank texts have no tokens and get the score of no suspicion; labels that are null count
 as none; of several labels of a document the highest holds; with no toxic labels to
 learn from, every score is 0; an empty table gives an empty result.
 """
@@ -35,7 +36,7 @@ from ringlet.llm.common import Scratch, table
 
 MOST_TOXIC, MOST_CLEAN, MOST_CANDIDATES, MOST_SEEDS = 6_000, 12_000, 20_000, 2_000
 HASH_BITS, WINDOW, STEPS, RATE, L2 = 18, 24, 80, 0.3, 1e-4
-THRESHOLD, SUSPICIOUS = 0.7, 0.05
+THRESHOLD, SUSPICIOUS, UNLIKELY = 0.7, 0.05, 2
 _SUB = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 _CACHE, _BATCH_TOKENS = 400_000, 1_500_000
@@ -91,7 +92,7 @@ def cover(docs: list[list[str]], clean: dict[str, int], n_clean: int, least: int
     seeds: list[str] = []
     while having and len(seeds) < MOST_SEEDS:
         # Most documents beyond what clean ones make likely; shorter and earlier names win ties.
-        worth = {f: len(s) - 20 * len(docs) * clean[f] / max(n_clean, 1) for f, s in having.items()}
+        worth = {f: len(s) - UNLIKELY * len(docs) * clean[f] / max(n_clean, 1) for f, s in having.items()}
         best = max(worth, key=lambda f: (worth[f], -len(f), f))
         if worth[best] < least:
             break
@@ -103,11 +104,13 @@ def cover(docs: list[list[str]], clean: dict[str, int], n_clean: int, least: int
 
 @dataclass
 class Crf:
-    """weights: of hashed features, for toxic against clean; start, trans: log potentials."""
+    """weights: of hashed features, for toxic against clean; start, trans: log potentials;
+    pool: coefficients of ``pooled``."""
 
     weights: np.ndarray
     start: np.ndarray
     trans: np.ndarray
+    pool: np.ndarray | None = None
 
     def emission(self, word: str) -> float:
         return float(self.weights[hashed(word)].sum())
@@ -193,15 +196,43 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
             out: tuple[list, list] = ([], [])
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _words(text)
-                bad = [y == 1 and not seeds.isdisjoint(features(w)) for w in words]
-                for got, x in zip(out, windows_of(words, bad, xxhash.xxh3_64_intdigest(text)), strict=True):
-                    got += x
+                bad = [not seeds.isdisjoint(features(w)) for w in words]
+                cuts, tags = windows_of(words, bad, xxhash.xxh3_64_intdigest(text))
+                out[0].extend(cuts)
+                out[1].extend(tags if y else [[0] * WINDOW for _ in tags])
             kinds = (pa.list_(pa.string()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["words", "tags"])
 
     rows = sample.select("text", "y").mapInArrow(cut, "words array<string>, tags array<int>").collect()
     rows.sort()
-    return train([r.words for r in rows], [r.tags for r in rows])
+    crf = train([r.words for r in rows], [r.tags for r in rows])
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Emissions(crf)
+        for batch in batches:
+            x = [known.score(t.as_py())[0].tolist() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+
+    rows = sample.select("text", "y").mapInArrow(pool, "x array<double>, y int").collect()
+    crf.pool = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
+    return crf
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the last column is the constant."""
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(x) / 100 * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (y - p) - ridge * len(x) / 100 * w)
+    return w
+
+
+def pooled(p: np.ndarray) -> np.ndarray:
+    """What the suspicious marginals of a document add up to."""
+    top = np.sort(p)[::-1][:2].tolist() + [0.0, 0.0]
+    nor = -np.log1p(-np.minimum(p, 1 - 1e-6)).sum()
+    return np.array([min(nor, 12.0), np.log1p(nor), top[0], top[1], np.log1p((p >= 0.3).sum()), 1.0])
 
 
 def marginals(e: np.ndarray, first: np.ndarray, crf: Crf) -> np.ndarray:
@@ -273,6 +304,25 @@ class _Emissions(dict):
             self[token] = value
         return value
 
+    def score(self, text: bytes | None) -> tuple[np.ndarray, float]:
+        """``pooled`` and score of one text."""
+        words = (text or b"").split()
+        if len(self) > _CACHE:
+            self.clear()
+        p = np.empty(0)
+        if words:
+            e = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+            first = np.zeros(len(e), bool)
+            first[0] = True
+            p = marginals(e, first, self.crf)
+            p = p[p >= SUSPICIOUS]
+        x = pooled(p)
+        return x, probability(x, self.crf)
+
+
+def probability(x: np.ndarray, crf: Crf) -> float:
+    return float(1 / (1 + np.exp(-np.clip(x @ crf.pool, -30, 30)))) if crf.pool is not None else 0.0
+
 
 def tagged(docs: DataFrame, crf: Crf | None) -> DataFrame:
     """doc_id, score, spans (start, end, marginal; code points) of every whole text."""
@@ -305,7 +355,7 @@ def tagged(docs: DataFrame, crf: Crf | None) -> DataFrame:
 
 def _scored(texts: list[bytes], e: np.ndarray, ends: np.ndarray, crf: Crf) -> tuple[list[float], list[list[dict]]]:
     begins = np.concatenate(([0], ends[:-1]))
-    scores, spans = [0.0] * len(texts), [[] for _ in texts]
+    scores, spans = [probability(pooled(np.empty(0)), crf)] * len(texts), [[] for _ in texts]
     if not len(e):
         return scores, spans
     first = np.zeros(len(e), bool)
@@ -315,7 +365,7 @@ def _scored(texts: list[bytes], e: np.ndarray, ends: np.ndarray, crf: Crf) -> tu
     owner = np.searchsorted(ends, odd, side="right")
     for d in np.unique(owner):
         tokens = odd[owner == d]
-        scores[d] = float(1 - np.prod(1 - p[tokens]))
+        scores[d] = probability(pooled(p[tokens]), crf)
         bad = {int(i - begins[d]): float(p[i]) for i in tokens if p[i] >= 0.5}
         if bad:
             byte, chars = 0, 0
@@ -346,14 +396,7 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, at = _Emissions(crf), names.index("text")
         for batch in batches:
-            good = []
-            for text in batch.column(at).cast(pa.binary()):
-                if len(known) > _CACHE:
-                    known.clear()
-                text = text.as_py() or b""
-                words = text.split()
-                e = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                good.append(_scored([text], e, np.array([len(words)]), crf)[0][0] < THRESHOLD)
+            good = [known.score(t.as_py())[1] < THRESHOLD for t in batch.column(at).cast(pa.binary())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     names = docs.columns
