@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringlet.llm import byte_bpe
+from ringlet.llm import byte_bpe, exact_dedup, mixing, near_dedup, toxicity
 from ringlet.llm.common import Scratch, table
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document left: token count and digests."""
     return byte_bpe.digests(docs, *byte_bpe.tokenizer_file())
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("toxicity", toxicity.toxic_stage),
+    ("exact dedup", exact_dedup.dedup_stage),
+    ("near dedup", near_dedup.near_stage),
+    ("mixing", mixing.mix_stage),
+    ("encoding", encode_stage),
+]
 
+#: SQL expresses neither the field, nor the signatures' draws, nor the merges.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and reread."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.write(docs, f"{k}-{name}")
+            docs = scratch.write(docs, f"stage-{k}")
     return docs

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ringlet.llm import byte_bpe, exact_dedup, mixing, near_dedup, sharding, toxicity
+from ringlet.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op2_exact_stream": exact_dedup.op2_query,
     "op5_byte_bpe": byte_bpe.op5_query,
     "op6_virtual_slots": sharding.op6_query,
+    "op7_quadratic_quality": quality.op7_query,
     "op8_toxic_crf": toxicity.op8_query,
     "op9_circulant_minhash": near_dedup.op9_query,
     "op10_mix_blocks": mixing.op10_query,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_stream": exact_dedup.OP2_SQL,
+    "op7_quadratic_quality": quality.op7_query,
     "op8_toxic_crf": toxicity.op8_query,
     "op9_circulant_minhash": near_dedup.OP9_SQL,
 }
