@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ringlet.llm import byte_bpe, exact_dedup, hnsw, mixing, near_dedup, quality, sharding, toxicity, url_filter
+from ringlet.llm import byte_bpe, exact_dedup, hnsw, mixing, near_dedup, pii, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_ngrams": url_filter.op1_query,
     "op2_exact_stream": exact_dedup.op2_query,
+    "op3_weak_pii": pii.op3_query,
     "op4_hnsw_shards": hnsw.op4_query,
     "op5_byte_bpe": byte_bpe.op5_query,
     "op6_virtual_slots": sharding.op6_query,
