@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from ringlet.llm.common import Scratch, table
 
-MOST_TOXIC, MOST_CLEAN, MOST_CANDIDATES, MOST_SEEDS = 6_000, 12_000, 20_000, 2_000
-HASH_BITS, WINDOW, STEPS, RATE, L2 = 18, 24, 80, 0.3, 1e-4
+MOST_TOXIC, MOST_CLEAN, MOST_CANDIDATES, MOST_SEEDS = 2_000, 4_000, 10_000, 1_000
+HASH_BITS, WINDOW, STEPS, RATE, L2 = 18, 24, 60, 0.3, 1e-4
 THRESHOLD, SUSPICIOUS, UNLIKELY = 0.7, 0.05, 2
 _SUB = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -84,21 +85,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cover(docs: list[list[str]], clean: dict[str, int], n_clean: int, least: int = 3) -> list[str]:
-    """Features that explain the toxic documents, greedily; docs: the candidates in each."""
-    having: dict[str, set[int]] = {}
+    """Features that explain the toxic documents, greedily; docs: the candidates in each.
+
+    A feature is worth the documents not yet explained, less what clean ones make likely.  Worth
+    only falls, so a heap with stale entries finds the best; shorter names win ties.
+    """
+    having: dict[str, list[int]] = {}
     for i, found in enumerate(docs):
         for f in found:
-            having.setdefault(f, set()).add(i)
-    seeds: list[str] = []
-    while having and len(seeds) < MOST_SEEDS:
-        # Most documents beyond what clean ones make likely; shorter and earlier names win ties.
-        worth = {f: len(s) - UNLIKELY * len(docs) * clean[f] / max(n_clean, 1) for f, s in having.items()}
-        best = max(worth, key=lambda f: (worth[f], -len(f), f))
-        if worth[best] < least:
-            break
-        seeds.append(best)
-        gone = set(having.pop(best))
-        having = {f: rest for f, s in having.items() if len(rest := s - gone) >= least}
+            having.setdefault(f, []).append(i)
+    left = {f: len(s) for f, s in having.items()}
+    worth = lambda f: left[f] - UNLIKELY * len(docs) * clean[f] / max(n_clean, 1)
+    heap = [(-worth(f), len(f), f) for f in left]
+    heapify(heap)
+    explained, seeds = set(), []
+    while heap and len(seeds) < MOST_SEEDS:
+        value, size, f = heappop(heap)
+        now = worth(f)
+        if now < least:
+            continue
+        if now < -value:
+            heappush(heap, (-now, size, f))
+            continue
+        seeds.append(f)
+        for i in having[f]:
+            if i not in explained:
+                explained.add(i)
+                for g in docs[i]:
+                    left[g] -= 1
     return seeds
 
 
@@ -166,7 +180,7 @@ def windows_of(words: list[str], bad: list[bool], step: int) -> tuple[list[list[
     words, bad = words + [""] * max(0, WINDOW - len(words)), bad + [False] * max(0, WINDOW - len(bad))
     last = len(words) - WINDOW
     starts = {min(max(0, i - WINDOW // 2), last) for i, b in enumerate(bad) if b}
-    starts = {*sorted(starts)[:4], step % (last + 1)}
+    starts = {*sorted(starts)[:3], step % (last + 1)}
     return [words[s : s + WINDOW] for s in sorted(starts)], [[int(b) for b in bad[s : s + WINDOW]] for s in sorted(starts)]
 
 
@@ -210,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Emissions(crf)
         for batch in batches:
-            x = [known.score(t.as_py())[0].tolist() for t in batch.column(0)]
+            x = [x.tolist() for _, part in _runs(batch.column(0), known) for x in part[0]]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     rows = sample.select("text", "y").mapInArrow(pool, "x array<double>, y int").collect()
@@ -304,21 +318,6 @@ class _Emissions(dict):
             self[token] = value
         return value
 
-    def score(self, text: bytes | None) -> tuple[np.ndarray, float]:
-        """``pooled`` and score of one text."""
-        words = (text or b"").split()
-        if len(self) > _CACHE:
-            self.clear()
-        p = np.empty(0)
-        if words:
-            e = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
-            first = np.zeros(len(e), bool)
-            first[0] = True
-            p = marginals(e, first, self.crf)
-            p = p[p >= SUSPICIOUS]
-        x = pooled(p)
-        return x, probability(x, self.crf)
-
 
 def probability(x: np.ndarray, crf: Crf) -> float:
     return float(1 / (1 + np.exp(-np.clip(x @ crf.pool, -30, 30)))) if crf.pool is not None else 0.0
@@ -336,36 +335,44 @@ def tagged(docs: DataFrame, crf: Crf | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Emissions(crf)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                texts, e, ends = [], [], []
-                while at + len(texts) < batch.num_rows and (not ends or ends[-1] < _BATCH_TOKENS):
-                    texts.append(batch.column(1)[at + len(texts)].as_py() or b"")
-                    if len(known) > _CACHE:
-                        known.clear()
-                    words = texts[-1].split()
-                    e.append(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
-                    ends.append((ends[-1] if ends else 0) + len(words))
-                scores, spans = _scored(texts, np.concatenate(e), np.array(ends), crf)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(scores, pa.float64()), pa.array(spans, span)], ["doc_id", "score", "spans"])
-                at += len(texts)
+            for at, (x, spans) in _runs(batch.column(1), known):
+                scores = [probability(v, crf) for v in x]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array(scores, pa.float64()), pa.array(spans, span)], ["doc_id", "score", "spans"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _scored(texts: list[bytes], e: np.ndarray, ends: np.ndarray, crf: Crf) -> tuple[list[float], list[list[dict]]]:
+def _runs(column: pa.Array, known: _Emissions) -> Iterator[tuple[int, tuple[list[np.ndarray], list[list[dict]]]]]:
+    """First place, and ``pooled`` and spans of each text, for runs of about ``_BATCH_TOKENS`` tokens."""
+    texts: list[bytes] = []
+    e: list[np.ndarray] = []
+    at = total = 0
+    for i, text in enumerate(column):
+        if len(known) > _CACHE:
+            known.clear()
+        texts.append(text.as_py() or b"")
+        words = texts[-1].split()
+        e.append(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
+        total += len(words)
+        if total >= _BATCH_TOKENS or i + 1 == len(column):
+            yield at, _tagged_run(texts, e, known.crf)
+            at, total, texts, e = i + 1, 0, [], []
+
+
+def _tagged_run(texts: list[bytes], e: list[np.ndarray], crf: Crf) -> tuple[list[np.ndarray], list[list[dict]]]:
+    ends = np.cumsum([len(x) for x in e])
     begins = np.concatenate(([0], ends[:-1]))
-    scores, spans = [probability(pooled(np.empty(0)), crf)] * len(texts), [[] for _ in texts]
-    if not len(e):
-        return scores, spans
-    first = np.zeros(len(e), bool)
+    out, spans = [pooled(np.empty(0))] * len(texts), [[] for _ in texts]
+    if not ends[-1]:
+        return out, spans
+    first = np.zeros(ends[-1], bool)
     first[begins[begins < ends]] = True
-    p = marginals(e, first, crf)
+    p = marginals(np.concatenate(e), first, crf)
     odd = np.flatnonzero(p >= SUSPICIOUS)
     owner = np.searchsorted(ends, odd, side="right")
     for d in np.unique(owner):
         tokens = odd[owner == d]
-        scores[d] = probability(pooled(p[tokens]), crf)
+        out[d] = pooled(p[tokens])
         bad = {int(i - begins[d]): float(p[i]) for i in tokens if p[i] >= 0.5}
         if bad:
             byte, chars = 0, 0
@@ -375,7 +382,7 @@ def _scored(texts: list[bytes], e: np.ndarray, ends: np.ndarray, crf: Crf) -> tu
                     wide = len(m[0].decode("utf-8", "replace"))
                     spans[d].append({"start": chars, "end": chars + wide, "marginal": bad[k]})
                     byte, chars = m.end(), chars + wide
-    return scores, spans
+    return out, spans
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +403,8 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, at = _Emissions(crf), names.index("text")
         for batch in batches:
-            good = [known.score(t.as_py())[1] < THRESHOLD for t in batch.column(at).cast(pa.binary())]
+            runs = _runs(batch.column(at).cast(pa.binary()), known)
+            good = [probability(v, crf) < THRESHOLD for _, (x, _) in runs for v in x]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     names = docs.columns
