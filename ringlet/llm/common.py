@@ -84,3 +84,11 @@ def stable_files(docs: DataFrame, scratch: Scratch) -> tuple[str, str]:
         return top, "*.parquet"
     scratch.write(docs, "rows")
     return f"{scratch.path}/rows", "*.parquet"
+
+
+def rescan(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
+    """A batch scan of ``stable_files``: by its own path where that is one file or a whole folder."""
+    reader, found = docs.sparkSession.read.schema(docs.schema), docs.inputFiles()
+    if len(found) == 1 and posixpath.dirname(found[0]) == files[0]:
+        return reader.parquet(found[0])
+    return reader.option("pathGlobFilter", files[1]).parquet(files[0])

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlet.llm.common import Scratch, ascii_lower, stable_files
+from ringlet.llm.common import Scratch, ascii_lower, rescan, stable_files
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -95,7 +95,7 @@ def groups(
     scratch = Scratch(spark, "exact")
     files, schema = stable_files(docs, scratch), docs.schema
     state = keyed_state(spark, files, schema, scratch, digest, files_per_trigger)
-    scan = spark.read.schema(schema).option("pathGlobFilter", files[1]).parquet(files[0])
+    scan = rescan(docs, files)
     rows = _located(scan, digest, *[F.col(f"`{c}`") for c in carry])
 
     # Full bytes of the digests that were hit: the join's skew can be split; min and max

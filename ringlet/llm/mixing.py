@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ringlet.llm.common import WORD, Scratch, stable_files
+from ringlet.llm.common import WORD, Scratch, rescan, stable_files
 
 BLOCK, BUCKETS, SHARDS, SEED, ROUNDS, MOST = 64, 4096, 8, 20_240_501, 24, 3
 #: Slots that one row of the slot generator unfolds.
@@ -148,7 +148,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing is taken go."""
     scratch = Scratch(spark, "mixstage")
     files, schema = stable_files(docs, scratch), docs.schema
-    scan = spark.read.schema(schema).option("pathGlobFilter", files[1]).parquet(files[0])
+    scan = rescan(docs, files)
     where = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
     made = mix(sized(scan, where.alias("_key")), scratch)
     taken = made.pieces.groupBy("src", "at").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "n"))).alias("_taken"))

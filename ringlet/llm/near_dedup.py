@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlet.llm.common import Scratch, stable_files
+from ringlet.llm.common import Scratch, rescan, stable_files
 from ringlet.llm.shingles import BANDS, COORDS, band_keys, overlap, shingle_set, signature
 
 PERCENT = 75
@@ -143,7 +143,7 @@ def grouped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     files, schema = stable_files(docs, scratch), docs.schema
-    scan = spark.read.schema(schema).option("pathGlobFilter", files[1]).parquet(files[0])
+    scan = rescan(docs, files)
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     kind = schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("binary").alias("text")

@@ -59,8 +59,8 @@ def fit_map(weights: list[int], n_shards: int = N_SHARDS) -> SlotMap:
 
 def rebalance(old: SlotMap, weights: list[int], n_shards: int | None = None, tolerance: float = 0.01) -> SlotMap:
     """The next version: slots leave shards above the mean, heaviest fitting first, until
-    every shard is within ``tolerance`` of the mean or no move helps.  New shards
-    start empty, so growing only moves slots into them while the others were even."""
+    every shard is within ``tolerance`` of the mean or no move helps.  When
+    shards are added, slots move only into the new ones."""
     n_shards = n_shards or old.n_shards
     if n_shards < old.n_shards:
         raise ValueError("shards can only be added")
@@ -73,11 +73,12 @@ def rebalance(old: SlotMap, weights: list[int], n_shards: int | None = None, tol
     for s in held:
         s.sort(key=lambda v: (weights[v], -v))
     givers = sorted(range(n_shards), key=lambda s: -load[s])
+    takers = range(old.n_shards, n_shards) if n_shards > old.n_shards else range(n_shards)
     for g in givers:
         keep = []
         while held[g] and load[g] > mean * (1 + tolerance):
             v = held[g].pop()
-            to = min(range(n_shards), key=lambda s: (load[s], s))
+            to = min(takers, key=lambda s: (load[s], s))
             if weights[v] == 0 or load[to] + weights[v] > max(mean * (1 + tolerance), load[g] - weights[v]):
                 keep.append(v)
                 continue
