@@ -58,9 +58,13 @@ def keyed_state(
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{scratch.path}/changes/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    # A state store is a database with files of its own: no more of them than the input has splits.
+    splits = spark.read.schema(schema).option("pathGlobFilter", files[1]).parquet(files[0]).rdd.getNumPartitions()
+    stores = max(1, min(splits, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    settings = {**STATE_CONF, "spark.sql.streaming.internal.stateStore.partitions": str(stores)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in STATE_CONF.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         query = (
             state.writeStream.outputMode("update").foreachBatch(put).trigger(availableNow=True)
