@@ -21,7 +21,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_stream": exact_dedup.OP2_SQL,
-    "op7_quadratic_quality": quality.op7_query,
-    "op8_toxic_crf": toxicity.op8_query,
     "op9_circulant_minhash": near_dedup.OP9_SQL,
 }
