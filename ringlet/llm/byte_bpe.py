@@ -1,8 +1,8 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 Within one pre-token, adjacent pairs wait in buckets, one per merge rank; a bucket
-holds positions of a doubly linked list of symbols.  A three-level bitmap tells which
-buckets are non-empty, so that find-first-set gives the lowest rank in three steps.
+holds positions of a doubly linked list of symbols.  A two-level bitmap tells which
+buckets are non-empty, so that find-first-set gives the lowest rank in two steps.
 Entries whose pair has changed since are stale and skipped.  One pre-token of n bytes
 costs O(n log n), however long it is.
 
@@ -36,11 +36,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets of positions by rank under a bitmap of three levels of 64 bits."""
+    """Buckets of positions by rank under a bitmap of two levels of 256 bits.
+
+    ``top`` marks the non-zero words of ``low``, whose bits mark the non-empty buckets.
+    """
 
     def __init__(self, n_ranks: int):
-        self.low = [0] * (n_ranks // 64 + 1)
-        self.mid = [0] * (n_ranks // 4096 + 1)
+        self.low = [0] * (n_ranks // 256 + 1)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
@@ -50,31 +52,60 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] |= 1 << (rank & 63)
-        self.mid[b] |= 1 << (a & 63)
-        self.top |= 1 << b
+        self.low[rank >> 8] |= 1 << (rank & 255)
+        self.top |= 1 << (rank >> 8)
 
     def pop(self) -> tuple[int, int]:
         """The leftmost position of the lowest rank; (-1, -1) when empty."""
         top = self.top
         if not top:
             return -1, -1
-        b = (top & -top).bit_length() - 1
-        word = self.mid[b]
-        a = b << 6 | ((word & -word).bit_length() - 1)
+        bit = top & -top
+        a = bit.bit_length() - 1
         word = self.low[a]
-        rank = a << 6 | ((word & -word).bit_length() - 1)
+        least = word & -word
+        rank = a << 8 | (least.bit_length() - 1)
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        self.low[a] = word = word ^ least
+        if not word:
+            self.top = top ^ bit
+        return rank, bucket[0]
+
+
+class _Pairs(dict):
+    """left << 32 | right -> rank of the two tokens together, or -1."""
+
+    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]):
+        super().__init__()
+        self.ranks, self.tokens = ranks, tokens
+
+    def __missing__(self, key: int) -> int:
+        rank = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
+        if len(self) < CACHED:
+            self[key] = rank
+        return rank
+
+
+class _Pieces(dict):
+    """Pre-token -> its ids; when full, it becomes the older generation, still looked up."""
+
+    def __init__(self, bpe: ByteBPE):
+        super().__init__()
+        self.bpe, self.old = bpe, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = array("I", self.bpe.merge(piece.encode("utf-8"))).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
 
 
 class ByteBPE:
@@ -85,65 +116,45 @@ class ByteBPE:
         self.tokens = {i: t for t, i in ranks.items()}
         self.split = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.pairs: dict[int, int] = {}
-        self.known: dict[str, bytes] = {}
-
-    def pair_rank(self, left: int, right: int) -> int:
-        key = left << 32 | right
-        rank = self.pairs.get(key)
-        if rank is None:
-            rank = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.pairs) < CACHED:
-                self.pairs[key] = rank
-        return rank
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.pairs = _Pairs(ranks, self.tokens)
+        self.known = _Pieces(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, single, pair_rank, queue = len(piece), self.ranks, self.pair_rank, self.queue
-        ids = [single[piece[i : i + 1]] for i in range(n)]
+        n, pairs, queue = len(piece), self.pairs, self.queue
+        push, pop = queue.push, queue.pop
+        ids = list(map(self.single.__getitem__, piece))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i in range(n - 1):
-            if (r := pair_rank(ids[i], ids[i + 1])) >= 0:
-                queue.push(r, i)
-        while True:
-            rank, i = queue.pop()
-            if rank < 0:
-                break
-            j = after[i]
+        left = ids[0]
+        for i in range(1, n):
+            right = ids[i]
+            if (r := pairs[left << 32 | right]) >= 0:
+                push(r, i - 1)
+            left = right
+        while queue.top:
+            rank, i = pop()
             # Stale: i or its neighbour has been merged away, or the pair differs now.
-            if ids[i] < 0 or j >= n or pair_rank(ids[i], ids[j]) != rank:
+            left, j = ids[i], after[i]
+            if left < 0 or j >= n or pairs[left << 32 | ids[j]] != rank:
                 continue
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := pair_rank(rank, ids[k])) >= 0:
-                    queue.push(r, i)
+                if (r := pairs[rank << 32 | ids[k]]) >= 0:
+                    push(r, i)
             h = before[i]
-            if h >= 0 and (r := pair_rank(ids[h], rank)) >= 0:
-                queue.push(r, h)
+            if h >= 0 and (r := pairs[ids[h] << 32 | rank]) >= 0:
+                push(r, h)
         return [x for x in ids if x >= 0]
 
-    def piece_ids(self, piece: str) -> bytes:
-        got = self.known.get(piece)
-        if got is None:
-            got = array("I", self.merge(piece.encode("utf-8"))).tobytes()
-            if len(piece) <= CACHED_CHARS:
-                if len(self.known) >= CACHED:
-                    self.known.clear()
-                self.known[piece] = got
-        return got
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces, known = self.split.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            return b"".join(map(self.piece_ids, pieces))
+        return b"".join(map(self.known.__getitem__, self.split.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))
