@@ -95,3 +95,16 @@ def test_classifiers_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.tagged(docs, toxicity.fit(docs, labels, Scratch(spark, "t"))).collect()} == {0.0}
     assert {r.score for r in quality.scored(docs, quality.fit(docs, labels, Scratch(spark, "t"))).collect()} == {0.5}
+
+
+def test_full_piece_cache_and_text_sql(monkeypatch):
+    """A full cache gives the same ids; SQL is text, of known queries."""
+    from ringlet.llm import queries
+
+    ours = byte_bpe.ByteBPE(byte_bpe.load_ranks(byte_bpe.tokenizer_file()[0]), byte_bpe.tokenizer_file()[1])
+    text = " ".join(f"w{i * 7919 % 613}x" for i in range(900))
+    want = ours.encode(text)
+    monkeypatch.setattr(byte_bpe, "CACHED", 5)
+    fresh = byte_bpe.ByteBPE(ours.ranks, byte_bpe.tokenizer_file()[1])
+    assert fresh.encode(text) == want and len(fresh.known) <= 5
+    assert all(isinstance(x, str) and k in queries.QUERIES for k, x in queries.ORACLE_SQL.items())
