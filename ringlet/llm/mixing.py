@@ -63,9 +63,14 @@ def permuted(x: Column, n: Column, src: Column, rounds: int = ROUNDS, seed: int
 
 
 def _unfolded(rows: DataFrame, count: str, to: str) -> DataFrame:
-    """``to`` runs over 0 .. count-1 for each row, chunks dealt over the tasks."""
+    """``to`` runs over 0 .. count-1 for each row, chunks dealt over the tasks.
+
+    The number of tasks is fixed, as chunks are few bytes but much work: adaptive
+    coalescing, which goes by bytes, would put all of them in one task.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = rows.where(f"{count} > 0").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {CHUNK}"))))
-    chunks = chunks.repartition("src", "_c")
+    chunks = chunks.repartition(tasks, "src", "_c")
     last = F.least(F.col(count) - F.col("_c") * CHUNK, F.lit(CHUNK).cast("long")) - 1
     inner = chunks.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return inner.withColumn(to, F.col("_c") * CHUNK + F.col("_i")).drop("_c", "_i")
