@@ -29,9 +29,10 @@ named_struct(
 _START = f"named_struct('ring', array(0), 'p', 0, 's', 0, 'n', 1, 'edges', cast(array() as array<{EDGE}>))"
 
 
-def graph_string(text: Column, length: int) -> Column:
-    """The letters of the alphabet in a text, at most ``length`` of them: always a valid string."""
-    return F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{ALPHABET}]", ""), 1, length)
+def graph_string(text: Column, length: int | None = None) -> Column:
+    """The letters of the alphabet in a text, at most ``length`` of them if given: always a valid string."""
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{ALPHABET}]", "")
+    return letters if length is None else F.substring(letters, 1, length)
 
 
 def valid(w: str = "w") -> Column:

@@ -159,5 +159,6 @@ def encoded(graphs: DataFrame, method: str, directed: bool = False) -> DataFrame
 
 
 def isomorphism_classes(graphs: DataFrame, directed: bool = False) -> DataFrame:
-    """Graphs grouped by exhaustive canonical string: encoding, n_graphs, first_id."""
+    """Graphs grouped by exhaustive canonical string: encoding, n_graphs, first_id.  The row of a null
+    encoding is no class; it counts the graphs whose search ended beyond its budget."""
     return encoded(graphs, "exhaustive", directed).groupBy("encoding").agg(F.count("*").alias("n_graphs"), F.min("id").alias("first_id"))

@@ -30,3 +30,17 @@ def test_query_agrees_with_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", ["g2s_greedy_min", "g2s_canonical"])
 def test_encodings_keep_sizes(spark, name):
     assert all(r.same_size for r in catalogue.QUERIES[name](spark, DATA).collect())
+
+
+def test_encodings_read_whole_texts(spark, tmp_path):
+    """Graphs that differ after the tenth letter, one whose search has no end within the budget, and none at all."""
+    rows = [(1, "WWWWWWWWWW VV"), (2, "WWWWWWWWWW VVPnC"), (3, "V" * 12), (4, None), (5, "W" * 30 + "VNV")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("g2s_greedy_single", "g2s_greedy_min", "g2s_pruned_canonical", "g2s_canonical"):
+        got = {r.id: r for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert [(got[i].n_nodes, got[i].n_edges) for i in range(1, 6)] == [(3, 2), (3, 3), (13, 12), (1, 0), (3, 2)]
+        null = [3] if name in ("g2s_pruned_canonical", "g2s_canonical") else []
+        assert [i for i in got if got[i].encoding is None] == null
+        assert all(r.same_size is (None if i in null else True) for i, r in got.items())
+    classes = {(r.n_graphs, r.first_id, r.encoding is None) for r in catalogue.QUERIES["isomorphism_classes"](spark, str(tmp_path)).collect()}
+    assert classes == {(2, 1, False), (1, 2, False), (1, 3, True), (1, 4, False)}
