@@ -1,10 +1,11 @@
 """Toxicity by a linear-chain conditional random field.
 
 Tokens are runs between ASCII white space; each is clean or toxic.  Token labels come from the
-document labels: features (a word, or its first 4, 5 or 6 letters) far commoner in toxic
-than in clean documents are candidates, and a greedy cover takes, one after another, the
-candidate that explains most toxic documents left; copies of one document therefore
-do not make its other words toxic.  The field is trained on windows of
+document labels: features (a word, or its first 4, 5 or 6 letters) whose share of toxic documents is surely
+above their share of clean ones (Wilson bounds, so the sample's class ratio plays no part) are candidates,
+and a greedy cover takes, one after another, the candidate that explains most toxic documents left; copies
+of one document therefore do not make its other words toxic.  Candidates may occur in clean documents:
+the field weighs them by both.  The field is trained on windows of
 tokens by full-batch gradient steps on its log-likelihood.  Each document is then run through
 forward-backward.  Its score is a logistic of what the marginals add up to (their noisy-or, the two
 largest, how many are high), with coefficients from the same labelled documents; tokens over
@@ -20,7 +21,6 @@ learn from, every score is 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +37,7 @@ from ringlet.llm.common import Scratch, table
 
 MOST_TOXIC, MOST_CLEAN, MOST_CANDIDATES, MOST_SEEDS = 2_000, 4_000, 10_000, 1_000
 HASH_BITS, WINDOW, STEPS, RATE, L2 = 18, 24, 60, 0.3, 1e-4
-THRESHOLD, SUSPICIOUS, UNLIKELY = 0.7, 0.05, 2
+THRESHOLD, SUSPICIOUS, UNLIKELY, SURE = 0.7, 0.05, 2, 2.5
 _SUB = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 _CACHE, _BATCH_TOKENS = 400_000, 1_500_000
@@ -84,6 +84,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["feature", "n0", "n1"])
 
 
+def bound(k: Column, n: int, z: float) -> Column:
+    """Wilson bound of a share of k in n, the upper one for z > 0, the lower one for z < 0."""
+    n = max(n, 1)
+    p = k / n
+    return (p + z * z / (2 * n) + z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def candidates(counted: DataFrame, n_clean: int, n_toxic: int) -> DataFrame:
+    """Rows (feature, n0, n1) surely commoner in toxic than in clean documents."""
+    return counted.where(bound(F.col("n1"), n_toxic, -SURE) > bound(F.col("n0"), n_clean, SURE))
+
+
 def cover(docs: list[list[str]], clean: dict[str, int], n_clean: int, least: int = 3) -> list[str]:
     """Features that explain the toxic documents, greedily; docs: the candidates in each.
 
@@ -190,11 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):
         return None
-    rate = n[1] / (n[1] + n.get(0, 0))
     counted = sample.select("text", "y").mapInArrow(_count, "feature string, n0 long, n1 long")
     counted = counted.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    surprise = F.col("n1") * -math.log(max(rate, 1e-9)) - 6 * F.col("n0")
-    top = counted.where((F.col("n1") >= 3) & (surprise > 0)).orderBy(F.desc("n1"), "feature").limit(MOST_CANDIDATES).collect()
+    top = candidates(counted, n.get(0, 0), n[1]).orderBy(F.desc("n1"), "feature").limit(MOST_CANDIDATES).collect()
     clean = {r.feature: r.n0 for r in top}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,3 +108,21 @@ def test_full_piece_cache_and_text_sql(monkeypatch):
     fresh = byte_bpe.ByteBPE(ours.ranks, byte_bpe.tokenizer_file()[1])
     assert fresh.encode(text) == want and len(fresh.known) <= 5
     assert all(isinstance(x, str) and k in queries.QUERIES for k, x in queries.ORACLE_SQL.items())
+
+
+def test_toxic_stems_may_occur_in_clean_texts(spark):
+    """A stem in 80 % of toxic and 10 % of clean texts is a toxic one, whatever the class ratio of the sample."""
+    rng = random.Random(4)
+    common = ["apple", "river", "stone", "cloud", "table", "green", "music", "paper", "light", "house"]
+    for n_clean in (300, 900):
+        rows = []
+        for i in range(150 + n_clean):
+            words = rng.choices(common, k=20)
+            if rng.random() < (0.8 if i < 150 else 0.1):
+                words[rng.randrange(20)] = "grumbolt"
+            rows.append((i, " ".join(words), int(i < 150)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        crf = toxicity.fit(docs, docs.select("doc_id", "toxic"), Scratch(spark, "t"))
+        score = {r.doc_id: r.score for r in toxicity.tagged(docs, crf).collect()}
+        having = {i for i, text, _ in rows if "grumbolt" in text}
+        assert min(score[i] for i in having) > max(score[i] for i in score.keys() - having)
