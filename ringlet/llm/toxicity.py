@@ -5,8 +5,8 @@ document labels: features (a word, or its first 4, 5 or 6 letters) whose share o
 above their share of clean ones (Wilson bounds, so the sample's class ratio plays no part) are candidates,
 and a greedy cover takes, one after another, the candidate that explains most toxic documents left; copies
 of one document therefore do not make its other words toxic.  Candidates may occur in clean documents:
-the field weighs them by both.  The field is trained on windows of
-tokens by full-batch gradient steps on its log-likelihood.  Each document is then run through
+the field weighs them by both.  The field is trained on the whole texts of the sample, cut into windows of
+tokens, by full-batch gradient steps on its log-likelihood.  Each document is then run through
 forward-backward.  Its score is a logistic of what the marginals add up to (their noisy-or, the two
 largest, how many are high), with coefficients from the same labelled documents; tokens over
 one half give the offending offsets (code points).
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from ringlet.llm.common import Scratch, table
 
-MOST_TOXIC, MOST_CLEAN, MOST_CANDIDATES, MOST_SEEDS = 2_000, 4_000, 10_000, 1_000
+MOST_TOXIC, MOST_CLEAN = 2_000, 4_000
 HASH_BITS, WINDOW, STEPS, RATE, L2 = 18, 24, 60, 0.3, 1e-4
 THRESHOLD, SUSPICIOUS, UNLIKELY, SURE = 0.7, 0.05, 2, 2.5
 _SUB = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
-_CACHE, _BATCH_TOKENS = 400_000, 1_500_000
+_CACHE, _BATCH_TOKENS, _BATCH_WINDOWS = 400_000, 1_500_000, 4_096
 
 
 def held_out(doc_id: Column, parts: int, which: int) -> Column:
@@ -111,7 +111,7 @@ def cover(docs: list[list[str]], clean: dict[str, int], n_clean: int, least: int
     heap = [(-worth(f), len(f), f) for f in left]
     heapify(heap)
     explained, seeds = set(), []
-    while heap and len(seeds) < MOST_SEEDS:
+    while heap:
         value, size, f = heappop(heap)
         now = worth(f)
         if now < least:
@@ -163,23 +163,27 @@ def _chains(e: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.nda
     return fwd, bwd, emit / scale[:, :, None], fwd * bwd
 
 
-def train(windows: list[list[str]], tags: list[list[int]]) -> Crf:
-    """Full-batch AdaGrad on the penalised log-likelihood of windows of ``WINDOW`` tokens."""
-    y = np.array(tags)
-    index = {w: i for i, w in enumerate(sorted({w for x in windows for w in x}))}
-    lists = [hashed(w) for w in index]
-    ids = np.array([i for x in windows for i in map(index.__getitem__, x)]).reshape(y.shape)
+def train(words: list[str], ids: np.ndarray, y: np.ndarray) -> Crf:
+    """Full-batch AdaGrad on the penalised log-likelihood of windows of ``WINDOW`` tokens.
+
+    ids: places in ``words`` of the tokens of each window; y: their tags.  Gradients are summed over
+    batches of windows, which bounds the memory and not what is read."""
+    lists = [hashed(w) for w in words]
     flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), list(map(len, lists)))
     w, start, trans = np.zeros(1 << HASH_BITS), np.zeros(2), np.zeros((2, 2))
     sums = [np.full_like(x, 1e-8) for x in (w, start, trans)]
     pairs = np.stack([[((y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)])
     first = np.array([(y[:, 0] == i).sum() for i in (0, 1)])
     for _ in range(STEPS):
-        e = np.bincount(owner, weights=w[flat], minlength=len(lists))[ids]
-        fwd, bwd, emit, m = _chains(e, start, trans)
-        by_word = np.bincount(ids.ravel(), weights=(y - m[:, :, 1]).ravel(), minlength=len(lists))
-        expected = np.einsum("nti,ij,ntj->ij", fwd[:, :-1], np.exp(trans), emit[:, 1:] * bwd[:, 1:]) * 1.0
-        grads = [np.bincount(flat, weights=by_word[owner], minlength=len(w)), first - m[:, 0].sum(axis=0), pairs - expected]
+        e = np.bincount(owner, weights=w[flat], minlength=len(lists))
+        by_word, heads, expected = np.zeros(len(lists)), np.zeros(2), np.zeros((2, 2))
+        for at in range(0, len(y), _BATCH_WINDOWS):
+            part = slice(at, at + _BATCH_WINDOWS)
+            fwd, bwd, emit, m = _chains(e[ids[part]], start, trans)
+            by_word += np.bincount(ids[part].ravel(), weights=(y[part] - m[:, :, 1]).ravel(), minlength=len(lists))
+            heads += m[:, 0].sum(axis=0)
+            expected += np.exp(trans) * (fwd[:, :-1].reshape(-1, 2).T @ (emit[:, 1:] * bwd[:, 1:]).reshape(-1, 2))
+        grads = [np.bincount(flat, weights=by_word[owner], minlength=len(w)), first - heads, pairs - expected]
         for x, g, h in zip((w, start, trans), grads, sums, strict=True):
             g = g / len(y) - L2 * x
             h += g * g
@@ -187,13 +191,10 @@ def train(windows: list[list[str]], tags: list[list[int]]) -> Crf:
     return Crf(w, start, trans)
 
 
-def windows_of(words: list[str], bad: list[bool], step: int) -> tuple[list[list[str]], list[list[int]]]:
-    """Windows around toxic tokens, and one at a place given by ``step``."""
-    words, bad = words + [""] * max(0, WINDOW - len(words)), bad + [False] * max(0, WINDOW - len(bad))
-    last = len(words) - WINDOW
-    starts = {min(max(0, i - WINDOW // 2), last) for i, b in enumerate(bad) if b}
-    starts = {*sorted(starts)[:3], step % (last + 1)}
-    return [words[s : s + WINDOW] for s in sorted(starts)], [[int(b) for b in bad[s : s + WINDOW]] for s in sorted(starts)]
+def windows_of(words: list[str], bad: list[bool]) -> tuple[list[str], list[int]]:
+    """Tokens and tags of the windows that follow each other over the whole text; the last is filled up."""
+    fill = -len(words) % WINDOW if words else WINDOW
+    return words + [""] * fill, [int(b) for b in bad] + [0] * fill
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, which: int = 1) -> Crf | None:
@@ -204,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
         return None
     counted = sample.select("text", "y").mapInArrow(_count, "feature string, n0 long, n1 long")
     counted = counted.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    top = candidates(counted, n.get(0, 0), n[1]).orderBy(F.desc("n1"), "feature").limit(MOST_CANDIDATES).collect()
+    top = candidates(counted, n.get(0, 0), n[1]).collect()
     clean = {r.feature: r.n0 for r in top}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +222,17 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _words(text)
                 bad = [not seeds.isdisjoint(features(w)) for w in words]
-                cuts, tags = windows_of(words, bad, xxhash.xxh3_64_intdigest(text))
-                out[0].extend(cuts)
-                out[1].extend(tags if y else [[0] * WINDOW for _ in tags])
-            kinds = (pa.list_(pa.string()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["words", "tags"])
+                tokens, tags = windows_of(words, bad)
+                out[0].append(" ".join(tokens))
+                out[1].append(bytes(tags if y else len(tags)))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary())], ["words", "tags"])
 
-    rows = sample.select("text", "y").mapInArrow(cut, "words array<string>, tags array<int>").collect()
+    rows = sample.select("text", "y").mapInArrow(cut, "words string, tags binary").collect()
     rows.sort()
-    crf = train([r.words for r in rows], [r.tags for r in rows])
+    index: dict[str, int] = {}
+    ids = np.concatenate([np.array([index.setdefault(w, len(index)) for w in r.words.split(" ")], np.int32) for r in rows])
+    y = np.concatenate([np.frombuffer(r.tags, np.int8) for r in rows])
+    crf = train(list(index), ids.reshape(-1, WINDOW), y.reshape(-1, WINDOW))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Emissions(crf)

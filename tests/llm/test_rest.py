@@ -126,3 +126,11 @@ def test_toxic_stems_may_occur_in_clean_texts(spark):
         score = {r.doc_id: r.score for r in toxicity.tagged(docs, crf).collect()}
         having = {i for i, text, _ in rows if "grumbolt" in text}
         assert min(score[i] for i in having) > max(score[i] for i in score.keys() - having)
+
+
+def test_the_field_is_trained_on_whole_texts(spark):
+    rows = [(i, " ".join([*["grumbolt"] * (9 * (i % 2)), *(f"{'ct'[i % 2]}{i}w{k}" for k in range(150))]), i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    crf, scratch = toxicity.fit(docs, docs.select("doc_id", "toxic"), Scratch(spark, "t")), Scratch(spark, "t")
+    sample = toxicity.labelled_sample(docs, docs.select("doc_id", "toxic"), "toxic", 3, 1, {0: 99, 1: 99}, scratch).collect()
+    assert len(sample) > 9 and all(crf.weights[toxicity.hashed(w)[1]] != 0 for r in sample for w in r.text.decode().split())
