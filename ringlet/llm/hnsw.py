@@ -8,7 +8,8 @@ distances on the original vectors, and the answers are merged per query.
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part, neither as query nor as candidate; only vectors of the query's dimension are candidates; equal vectors
 share a node, so copies do not crowd the graph; rows that repeat an id are one candidate each, and a query
-never meets its own id; an empty table gives an empty result.
+never meets its own id; rows that repeat an id and vector ask once, and an id on several vectors asks once for
+each of them, with ranks of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -188,32 +189,37 @@ def _answer(batches: Iterator[pa.RecordBatch], k: int, ef: int) -> Iterator[pa.R
             links = [np.frombuffer(b, np.int32).reshape(len(exact), -1) for b in r["links"]]
             g = Graph(exact.astype(np.float32), links, r["entry"])
             ids, starts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["starts"], np.int64)
-            out: tuple[list, list, list] = ([], [], [])
-            for query, vector in zip(r["queries"], r["query_vectors"], strict=True):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for query, ask, vector in zip(r["queries"], r["asks"], r["query_vectors"], strict=True):
                 q = np.array(vector)
                 q32 = q.astype(np.float32)
                 found = np.array([i for _, i in g.search(q32, g.descend(q32, 0), ef, 0)])
                 score = np.sqrt(((exact[found] - q) ** 2).sum(axis=1))
-                # A node stands for its copies; k + 1 of them leave k without the query's own.
-                each = [(s, j) for s, i in zip(score.tolist(), found.tolist(), strict=True) for j in ids[starts[i] : starts[i + 1]][: k + 1].tolist() if j != query]
+                # A node stands for its copies; those with the query's own id go before the first k are taken.
+                each = []
+                for s, i in zip(score.tolist(), found.tolist(), strict=True):
+                    copies = ids[starts[i] : starts[i + 1]]
+                    each += [(s, j) for j in copies[copies != query][:k].tolist()]
                 for s, j in sorted(each)[:k]:
-                    out[0].append(query)
-                    out[1].append(j)
-                    out[2].append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+                    for column, value in zip(out, (query, ask, j, s), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["query_id", "ask", "vec_id", "score"])
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each of ``queries`` (vec_id, embedding, dim)."""
+    queries = queries.dropDuplicates(["vec_id", "embedding"])
+    queries = queries.withColumn("ask", F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding")))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block")
-    asked = queries.select("dim", block, "vec_id", "embedding").groupBy("dim", "block").agg(
-        F.collect_list("vec_id").alias("queries"), F.collect_list("embedding").alias("query_vectors")
+    asked = queries.select("dim", block, "vec_id", "ask", "embedding").groupBy("dim", "block").agg(
+        F.collect_list("vec_id").alias("queries"), F.collect_list("ask").alias("asks"), F.collect_list("embedding").alias("query_vectors")
     )
     pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("shard", "block")
     answers = pairs.join(asked, ["dim", "block"]).drop("block", "shard")
-    answers = answers.mapInArrow(lambda it: _answer(it, k, ef), "query_id long, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    answers = answers.mapInArrow(lambda it: _answer(it, k, ef), "query_id long, ask int, vec_id long, score double")
+    best = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy("score", "vec_id"))
     return answers.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -134,3 +134,16 @@ def test_the_field_is_trained_on_whole_texts(spark):
     crf, scratch = toxicity.fit(docs, docs.select("doc_id", "toxic"), Scratch(spark, "t")), Scratch(spark, "t")
     sample = toxicity.labelled_sample(docs, docs.select("doc_id", "toxic"), "toxic", 3, 1, {0: 99, 1: 99}, scratch).collect()
     assert len(sample) > 9 and all(crf.weights[toxicity.hashed(w)[1]] != 0 for r in sample for w in r.text.decode().split())
+
+
+def test_repeated_queries_and_copies(spark):
+    """A repeated row asks once, an id on two vectors twice, and many copies under the query's id hide no others."""
+    x = np.random.default_rng(3).normal(size=(40, 8)).round(3)
+    rows = [(i, x[i]) for i in range(40)] + [(0, x[0])] * 2 + [(10, x[39])] + [(20, x[20])] * 14 + [(i, x[20]) for i in range(50, 53)]
+    frame = hnsw.usable(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>"))
+    got = hnsw.nearest(hnsw.build_index(frame, Scratch(spark, "t")), frame.where("vec_id IN (0, 10, 20)"))
+    want = []
+    for q, v in ((0, x[0]), (10, x[10]), (10, x[39]), (20, x[20])):
+        near = sorted((float(np.sqrt(((u - v) ** 2).sum())), j) for j, u in rows if j != q)[:10]
+        want += [(q, k, j, round(s, 9)) for k, (s, j) in enumerate(near, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got.collect()) == sorted(want)
