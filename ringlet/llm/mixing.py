@@ -2,8 +2,8 @@
 
 The words of a source form one line: documents in a pseudorandom order, cut into blocks of
 ``BLOCK`` words.  Targets come from the weights by water filling.  A source's target in blocks
-is its number of slots; each slot falls to an output shard, so that the counts of sources
-in a shard are a multinomial draw.  Slots are mapped through the source's own
+is its number of slots, fixed by rounding; each slot falls evenly to an output shard.  So no multinomial over
+sources is drawn for each shard: given a shard's total, its counts of sources are hypergeometric.  Slots are mapped through the source's own
 pseudorandom permutation of block indices (swap-or-not, exact for any block count), epoch after
 epoch, and blocks are joined by index.  As there are at most three slots for a block, no document is taken
 more than three times.
@@ -110,7 +110,7 @@ def mix(rows: DataFrame, scratch: Scratch, block: int = BLOCK, shards: int = SHA
     at = F.when(F.col("size") > 0, F.col("base") + F.col("upto") - F.col("size"))
     rows = scratch.write(rows.select(*keys, "size", "src", at.alias("at"), "source_size", "target"), "line")
 
-    # The draw: each slot's shard is an even draw, so a shard's counts are multinomial.
+    # The draw: each slot's shard is an even draw; the totals of sources are fixed by the targets.
     plan = planned.select("src", "blocks", "drawn")
     shard = F.pmod(F.xxhash64(F.lit(seed + 2), "src", "_j"), F.lit(shards)).cast("int")
     counts = _unfolded(plan, "drawn", "_j").groupBy("src", "blocks", shard.alias("shard")).agg(F.count("*").alias("n"))
