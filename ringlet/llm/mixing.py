@@ -1,19 +1,23 @@
 """Mixing sources to target weights, by blocks.
 
 The words of a source form one line: documents in a pseudorandom order, cut into blocks of
-``BLOCK`` words.  Targets come from the weights by water filling.  A source's target in blocks
-is its number of slots, fixed by rounding; each slot falls evenly to an output shard.  So no multinomial over
-sources is drawn for each shard: given a shard's total, its counts of sources are hypergeometric.  Slots are mapped through the source's own
+``BLOCK`` words.  Targets come from the weights by water filling.  Every output shard has the same number of
+slots, but for one, and draws how many of them each source fills: a source's share of the shard's slots
+rounded down, and for the slots that leaves over a multinomial draw with the fractions lost as
+probabilities (a residual multinomial: it has the multinomial's means, and a spread of a few blocks instead of one that
+would miss the targets of small tables).  A source's slots, counted through the shards, are mapped through its own
 pseudorandom permutation of block indices (swap-or-not, exact for any block count), epoch after
-epoch, and blocks are joined by index.  As there are at most three slots for a block, no document is taken
-more than three times.
+epoch, and blocks are joined by index.  Slots after the third epoch stay empty, so that no document is taken
+more than three times; by then the source has all that its target can be.
 
 Only DataFrame functions are used.  A hot source is spread over ``BUCKETS`` pieces of its line,
-whose sums alone pass the prefix-sum windows; its blocks are hashed by index.
+whose sums alone pass the prefix-sum windows; its blocks are hashed by index.  Windows without a partition see one row
+for each source.
 
 Defined results: null or blank text has size 0 and nothing is taken of it; null sources are one
 source, last; repeated rows are rows of their own; with no words at all, every target is 0;
-an empty table gives an empty result.  All draws are hashes, so reruns agree.
+an empty table gives an empty result; very long texts lie over many blocks and are never cut short.  All draws are
+hashes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -76,10 +80,32 @@ def _unfolded(rows: DataFrame, count: str, to: str) -> DataFrame:
     return inner.withColumn(to, F.col("_c") * CHUNK + F.col("_i")).drop("_c", "_i")
 
 
+def shard_counts(planned: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """src, blocks, shard, n: the draw of each shard's slots over the sources (src, blocks, drawn: slots wanted)."""
+    everything = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = planned.select("src", "blocks", "drawn", F.sum("drawn").over(everything).alias("all")).where("drawn > 0")
+    cells = cells.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_t", F.round("all").cast("long"))
+    slots = F.expr(f"_t div {shards} + if(shard < _t % {shards}, 1, 0)")
+    cells = cells.withColumn("slots", slots).withColumn("exact", F.col("slots") * F.col("drawn") / F.col("all"))
+    cells = cells.withColumn("whole", F.floor("exact")).withColumn("part", F.col("exact") - F.col("whole"))
+    left = cells.groupBy("shard").agg(
+        (F.first("slots") - F.sum("whole")).alias("left"), F.array_sort(F.collect_list(F.struct("src", "blocks", "part"))).alias("each")
+    )
+    # One draw for each slot left: the source in whose stretch of the summed fractions a hashed point falls.
+    draws = left.where(F.col("left") > 0).withColumn("_r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))))
+    point = F.xxhash64(F.lit(seed + 2), "shard", "_r").bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    draws = draws.withColumn("_u", point * F.aggregate("each", F.lit(0.0), lambda s, x: s + x["part"]))
+    picked = F.expr("""aggregate(each, named_struct('upto', 0D, 'src', cast(null as int), 'blocks', cast(null as bigint), 'done', false),
+        (s, x) -> if(s.done, s, named_struct('upto', s.upto + x.part, 'src', x.src, 'blocks', x.blocks, 'done', s.upto + x.part > _u)))""")
+    draws = draws.withColumn("_p", picked).select(F.col("_p.src").alias("src"), F.col("_p.blocks").alias("blocks"), "shard", F.lit(1).cast("long").alias("n"))
+    every = cells.select("src", "blocks", "shard", F.col("whole").alias("n")).unionByName(draws)
+    return every.groupBy("src", "blocks", "shard").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 @dataclass
 class Mix:
-    """rows: key, src, at, size, source_size, target; slots: shard, src, epoch, block; counts:
-    src, shard, n; pieces: key, block, words, n (times taken)."""
+    """rows: key, src, at, size, source_size, target; counts: src, blocks, shard, n; slots: shard, place,
+    src, epoch, block; pieces: src, at, block, n (times taken), shards (that take it), lo, hi (its words)."""
 
     rows: DataFrame
     counts: DataFrame
@@ -95,9 +121,8 @@ def mix(rows: DataFrame, scratch: Scratch, block: int = BLOCK, shards: int = SHA
     sums = scratch.write(rows.groupBy("source", "bucket").agg(F.sum("size").alias("s")), "sums")
     planned = targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")))
     planned = planned.withColumn("blocks", F.ceil(F.col("source_size") / block))
-    drawn = F.round(F.col("target") * F.col("blocks") / F.when(F.col("source_size") > 0, F.col("source_size")))
-    planned = planned.withColumn("drawn", F.coalesce(F.least(drawn.cast("long"), F.col("blocks") * MOST), F.lit(0).cast("long")))
-    planned = scratch.write(planned, "targets")
+    drawn = F.col("target") * F.col("blocks") / F.when(F.col("source_size") > 0, F.col("source_size"))
+    planned = scratch.write(planned.withColumn("drawn", F.coalesce(drawn, F.lit(0.0))), "targets")
 
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0).cast("long")))
@@ -110,22 +135,19 @@ def mix(rows: DataFrame, scratch: Scratch, block: int = BLOCK, shards: int = SHA
     at = F.when(F.col("size") > 0, F.col("base") + F.col("upto") - F.col("size"))
     rows = scratch.write(rows.select(*keys, "size", "src", at.alias("at"), "source_size", "target"), "line")
 
-    # The draw: each slot's shard is an even draw; the totals of sources are fixed by the targets.
-    plan = planned.select("src", "blocks", "drawn")
-    shard = F.pmod(F.xxhash64(F.lit(seed + 2), "src", "_j"), F.lit(shards)).cast("int")
-    counts = _unfolded(plan, "drawn", "_j").groupBy("src", "blocks", shard.alias("shard")).agg(F.count("*").alias("n"))
-    counts = scratch.write(counts, "counts")
+    counts = scratch.write(shard_counts(planned, shards, seed), "counts")
     first = F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     slots = _unfolded(counts.withColumn("first", first), "n", "place").withColumn("_j", F.col("first") + F.col("place"))
     slots = slots.select(
         "shard", "place", "src", F.expr("_j div blocks").alias("epoch"),
         permuted(F.col("_j") % F.col("blocks"), F.col("blocks"), F.col("src"), seed=seed).alias("block"),
     )
-    drawn_blocks = slots.groupBy("src", "block").agg(F.count("*").alias("n"))
+    slots = slots.where(F.col("epoch") < MOST)
+    drawn_blocks = slots.groupBy("src", "block").agg(F.count("*").alias("n"), F.collect_set("shard").alias("shards"))
     k = F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block")
     pieces = rows.where("at IS NOT NULL").select("src", "at", "size", k)
-    pieces = pieces.join(drawn_blocks, ["src", "block"]).select(
-        "src", "at", "block", "n",
+    pieces = pieces.join(drawn_blocks.hint("merge"), ["src", "block"]).select(
+        "src", "at", "block", "n", "shards",
         F.greatest(F.col("block") * block, F.col("at")).alias("lo"),
         F.least((F.col("block") + 1) * block, F.col("at") + F.col("size")).alias("hi"),
     )
@@ -141,9 +163,12 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ringlet.llm.common import table
 
     made = mix(sized(table(spark, sf_dir, "documents"), F.col("doc_id")), Scratch(spark, "mix"))
-    taken = made.pieces.groupBy("src", "at").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("n")).alias("taken"))
-    return made.rows.join(taken, ["src", "at"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+    # The shards of a text's blocks, as bits: a text may lie in many blocks, but there are few shards.
+    bits = F.aggregate("shards", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
+    taken = made.pieces.groupBy("src", "at").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("n")).alias("taken"), F.bit_or(bits).alias("shard_bits"))
+    none = F.lit(0).cast("long")
+    return made.rows.join(taken.hint("merge"), ["src", "at"], "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("shard_bits", none).alias("shard_bits")
     )
 
 

@@ -62,17 +62,62 @@ def test_near_groups_match_brute_force(spark, tmp_path):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
-def test_mix_keeps_to_targets(spark, tmp_path):
+def mixed(spark, tmp_path, shards=mixing.SHARDS):
     rng = random.Random(4)
-    rows = [(i, "w " * rng.randrange(400), rng.choice(["a", "b", "c", None])) for i in range(200)] + [(900, None, "a")]
-    made = mixing.mix(mixing.sized(docs(spark, tmp_path, rows), F.col("doc_id")), Scratch(spark, "t"))
+    rows = [(i, "w " * rng.randrange(400), rng.choice(["a", "b", "c", None])) for i in range(200)] + [(900, None, "a"), (901, " \n", "b"), (7, "w w", "a"), (7, "w w", "a")]
+    return rows, mixing.mix(mixing.sized(docs(spark, f"{tmp_path}/{shards}", rows), F.col("doc_id")), Scratch(spark, "t"), shards=shards)
+
+
+def test_mix_keeps_to_targets(spark, tmp_path):
+    """Shards draw whole shares surely and the rest by chance: a variance of at most a quarter a shard, here five deviations."""
+    rows, made = mixed(spark, tmp_path)
     taken = made.pieces.groupBy("src").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("n")).alias("t"), F.max("n").alias("most"))
     target = {r.src: r.target for r in made.rows.select("src", "target").distinct().collect()}
     for r in taken.collect():
-        assert r.most <= 3 and abs(r.t - target[r.src]) <= 2 * mixing.BLOCK
+        assert r.most <= 3 and abs(r.t - target[r.src]) <= (2 + 5 * (mixing.SHARDS / 4) ** 0.5) * mixing.BLOCK
     assert abs(sum(target.values()) - sum(len((t or "").split()) for _, t, _ in rows)) < 1e-3
 
 
+def test_shards_draw_their_counts(spark, tmp_path):
+    """Each shard fills all its slots, no source gets less than its share rounded down, and the draw decides what is taken."""
+    taken = []
+    for shards in (8, 3):
+        _, made = mixed(spark, tmp_path, shards)
+        counts = made.counts.collect()
+        wanted = {r.src: r.target * -(-r.source_size // mixing.BLOCK) / r.source_size for r in made.rows.select("src", "target", "source_size").distinct().collect()}
+        total = round(sum(wanted.values()))
+        by_shard = [sum(r.n for r in counts if r.shard == s) for s in range(shards)]
+        assert sorted(by_shard, reverse=True) == [total // shards + (s < total % shards) for s in range(shards)]
+        assert all(r.n >= int(by_shard[r.shard] * wanted[r.src] / sum(wanted.values())) for r in counts)
+        taken.append({r.src: r.t for r in made.pieces.groupBy("src").agg(F.sum("n").alias("t")).collect()})
+    assert taken[0] != taken[1]
+
+
+def test_taken_words_match_a_plain_walk(spark, tmp_path):
+    """The line, the slots and the words of each text, once more by plain loops over the drawn counts."""
+    rows, made = mixed(spark, tmp_path)
+    line, slots = made.rows.collect(), made.slots.collect()
+    assert sorted((r.doc_id, r.size) for r in line) == sorted((i, len((t or "").split())) for i, t, _ in rows)
+    got = {(r.src, r["at"]): (r.t, set(sum(r.s, []))) for r in made.pieces.groupBy("src", "at").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("n")).alias("t"), F.collect_list("shards").alias("s")).collect()}
+    for src in {r.src for r in line}:
+        mine = sorted((r["at"], r.size) for r in line if r.src == src and r.size)
+        size = sum(n for _, n in mine)
+        assert [at for at, _ in mine] == [sum(n for _, n in mine[:k]) for k in range(len(mine))]
+        blocks = -(-size // mixing.BLOCK)
+        counts = {r.shard: r.n for r in made.counts.where(F.col("src") == src).collect()}
+        assert sum(counts.values()) == sum(1 for r in slots if r.src == src)  # none is beyond the third epoch here
+        for epoch in range(sum(counts.values()) // blocks):
+            assert sorted(r.block for r in slots if r.src == src and r.epoch == epoch) == list(range(blocks))
+        for at, n in mine:
+            words, shards = 0, set()
+            for r in slots:
+                if r.src == src:
+                    here = range(max(at, r.block * mixing.BLOCK), min(at + n, (r.block + 1) * mixing.BLOCK))
+                    words += len(here)
+                    shards |= {r.shard} if len(here) else set()
+            assert got.get((src, at), (0, set())) == (words, shards) and words <= 3 * n
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     rows = [("a", 10), ("b", 1000), (None, 1000)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
