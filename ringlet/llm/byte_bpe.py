@@ -23,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pre-tokens up to this many characters are remembered, at most so many of them.
-CACHED_CHARS, CACHED = 48, 400_000
+from ringlet.llm.common import tidy
+
+#: Pre-tokens up to this many characters are remembered, so many in each of two generations, and as many pairs: some 40 MB a worker.
+CACHED_CHARS, CACHED = 48, 131_072
 #: Rows and characters in one batch that goes back to Spark.
-BATCH_ROWS, BATCH_CHARS = 512, 4_000_000
+BATCH_ROWS, BATCH_CHARS = 512, 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -116,7 +118,9 @@ class ByteBPE:
         self.tokens = {i: t for t, i in ranks.items()}
         self.split = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"rank file without the single bytes {missing}")
+        self.single = [ranks[bytes([b])] for b in range(256)]
         self.pairs = _Pairs(ranks, self.tokens)
         self.known = _Pieces(self)
 
@@ -190,7 +194,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

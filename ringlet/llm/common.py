@@ -7,11 +7,15 @@ a folder of our own is made.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import posixpath
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="ringlet-"))
     spark.sparkContext.setCheckpointDir(_own_dir[0])
     return _own_dir[0]
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: workers outlive their tasks, and allocators keep what they once had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        return
+
+
+def tidy(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """``run``, that empties its caches (``forget``) and gives its memory back at the end of each partition."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            give_back()
+
+    return tidied
+
+
 class Scratch:
     """Named intermediate tables below one fresh folder of the shared directory."""
 

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlet.llm.common import Scratch, rescan, stable_files
-from ringlet.llm.shingles import BANDS, COORDS, band_keys, overlap, shingle_set, signature
+from ringlet.llm.common import Scratch, give_back, rescan, stable_files, tidy
+from ringlet.llm.shingles import BANDS, COORDS, band_keys, forget, overlap, shingle_set, signature
 
 PERCENT = 75
 #: Signatures of linked sets agree in 96 of 128 coordinates on average; under 64 is 6.5 deviations off.
@@ -148,7 +148,7 @@ def grouped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     kind = schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("binary").alias("text")
     signed = scan.select(*where, F.col("doc_id"), text).mapInArrow(
-        _sign, f"file string, row long, doc_id {kind}, n_shingles long, cls binary, bands array<long>, sig binary"
+        tidy(_sign, forget), f"file string, row long, doc_id {kind}, n_shingles long, cls binary, bands array<long>, sig binary"
     )
     signed = scratch.write(signed, "signed")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
@@ -170,7 +170,7 @@ def grouped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     other = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     pairs = pairs.join(texts.withColumnsRenamed({"cls": "b", "text": "text_b", "sig": "sig_b", "n": "n_b"}), "b")
     pairs = pairs.join(other, "a").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-    links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify_pairs, "a binary, b binary")
+    links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_verify_pairs, forget), "a binary, b binary")
     links = scratch.write(links, "links-1")
     labels = components(links, scratch, "first")
 

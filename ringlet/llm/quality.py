@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlet.llm.common import Scratch, table
+from ringlet.llm.common import Scratch, table, tidy
 from ringlet.llm.toxicity import held_out, labelled_sample, logistic
 
 MOST, THRESHOLD, SHRINK_POOLED, SHRINK_DIAGONAL = 20_000, 0.7, 0.1, 0.05
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 4, wh
             x = [statistics(t.as_py()).tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    rows = sample.select("text", "y").mapInArrow(stats, "x array<double>, y int").collect()
+    rows = sample.select("text", "y").mapInArrow(tidy(stats), "x array<double>, y int").collect()
     rows.sort()
     return discriminant(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
 
@@ -151,7 +151,7 @@ def scored(docs: DataFrame, model: Discriminant) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "statistics"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, statistics array<double>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, score double, statistics array<double>")
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:

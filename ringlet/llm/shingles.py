@@ -7,7 +7,8 @@ import xxhash
 
 WORDS, BANDS, ROWS = 5, 32, 4
 COORDS = BANDS * ROWS
-_WORD_CACHE = 1_000_000
+#: Words whose hashes a worker remembers within a partition: some 10 MB.
+_WORD_CACHE = 65_536
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P1, _P2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _SHIFTS = np.arange(1, COORDS + 1, dtype=np.uint32)[:, None]
@@ -22,6 +23,11 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
+def forget() -> None:
+    """Empty this worker's cache."""
+    _words.clear()
+
+
 def shingle_set(text: bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 5-word shingles; the whole text if it is shorter.
 

@@ -33,14 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlet.llm.common import Scratch, table
+from ringlet.llm.common import Scratch, table, tidy
 
 MOST_TOXIC, MOST_CLEAN = 2_000, 4_000
 HASH_BITS, WINDOW, STEPS, RATE, L2 = 18, 24, 60, 0.3, 1e-4
 THRESHOLD, SUSPICIOUS, UNLIKELY, SURE = 0.7, 0.05, 2, 2.5
 _SUB = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
-_CACHE, _BATCH_TOKENS, _BATCH_WINDOWS = 400_000, 1_500_000, 4_096
+#: Tokens whose emissions are remembered (some 12 MB), tokens of a run of documents, windows of a training step.
+_CACHE, _BATCH_TOKENS, _BATCH_WINDOWS = 100_000, 250_000, 4_096
 
 
 def held_out(doc_id: Column, parts: int, which: int) -> Column:
@@ -203,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):
         return None
-    counted = sample.select("text", "y").mapInArrow(_count, "feature string, n0 long, n1 long")
+    counted = sample.select("text", "y").mapInArrow(tidy(_count), "feature string, n0 long, n1 long")
     counted = counted.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     top = candidates(counted, n.get(0, 0), n[1]).collect()
     clean = {r.feature: r.n0 for r in top}
@@ -213,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
             each = [sorted({f for w in set(_words(t)) for f in features(w)} & clean.keys()) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(each, pa.list_(pa.string()))], ["found"])
 
-    toxic = sample.where("y = 1").select("text").mapInArrow(found, "found array<string>").collect()
+    toxic = sample.where("y = 1").select("text").mapInArrow(tidy(found), "found array<string>").collect()
     seeds = set(cover([r.found for r in toxic], clean, n.get(0, 0)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
                 out[1].append(bytes(tags if y else len(tags)))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary())], ["words", "tags"])
 
-    rows = sample.select("text", "y").mapInArrow(cut, "words string, tags binary").collect()
+    rows = sample.select("text", "y").mapInArrow(tidy(cut), "words string, tags binary").collect()
     rows.sort()
     index: dict[str, int] = {}
     ids = np.concatenate([np.array([index.setdefault(w, len(index)) for w in r.words.split(" ")], np.int32) for r in rows])
@@ -240,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
             x = [x.tolist() for _, part in _runs(batch.column(0), known) for x in part[0]]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    rows = sample.select("text", "y").mapInArrow(pool, "x array<double>, y int").collect()
+    rows = sample.select("text", "y").mapInArrow(tidy(pool), "x array<double>, y int").collect()
     crf.pool = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
     return crf
 
@@ -352,7 +353,7 @@ def tagged(docs: DataFrame, crf: Crf | None) -> DataFrame:
                 scores = [probability(v, crf) for v in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array(scores, pa.float64()), pa.array(spans, span)], ["doc_id", "score", "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _runs(column: pa.Array, known: _Emissions) -> Iterator[tuple[int, tuple[list[np.ndarray], list[list[dict]]]]]:
@@ -421,4 +422,4 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield batch.filter(pa.array(good, pa.bool_()))
 
     names = docs.columns
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
