@@ -1,249 +1,94 @@
 """Registry of the graph-string queries and their oracle SQL.
 
-Most queries are SQL over base relations: strings (id, w), bench (the same of ``benchmark``), graphs
-(id, n), edges and arcs (id, u, v), chars (id, pos, c) and pairs (k, i, j, ...).  On Spark these are
-DataFrames from the operators; the oracle builds them by a recursive query of its own.
+Most queries are text that both engines read, over the relations of ``relations``; those that need operators of the package
+are functions, with SQL of their own where SQL can express them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlet.operators import decode, encode, pairs
-
-Query = Callable[[SparkSession, str], DataFrame]
-LENGTH = 24
+from ringlet.operators import decode, pairs
+from ringlet.plans import codec, distances, relations, reports, sampling, searches, statistics
+from ringlet.plans.relations import PRELUDE, Query, bench, bgraphs, duck_sql, spark_query
 
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+for _part in (codec, distances, statistics, sampling, reports):
+    for _name, _sql in _part.SHARED.items():
+        QUERIES[_name] = spark_query(_sql, {**_part.SPARK, **relations.SPARK})
+        ORACLE_SQL[_name] = duck_sql(_sql, {**_part.DUCK, **relations.DUCK})
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def register(name: str, query: Query, sql: str | None = None) -> None:
+    """A query made by a function; ``sql`` follows the relations' prelude."""
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE_SQL[name] = f"{PRELUDE} {sql}"
 
-def _strings(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return _table(spark, sf_dir, name).select(F.col(key).alias("id"), decode.graph_string(F.col("text"), LENGTH).alias("w"))
 
+def s2g_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decode.trace(bench(spark, sf_dir))
+    return rows.withColumns({"n_edges": F.col("n_edges").cast("long"), "ring": F.array_join("ring", ","), "step": F.col("step").cast("int")})
 
-def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _strings(spark, sf_dir, "documents", "doc_id")
 
+register("s2g_trace", s2g_trace, """SELECT id, i AS step, CASE WHEN i = 0 THEN '' ELSE substr(w, i, 1) END AS instruction, array_to_string(list_concat(ring[p + 1:], ring[:p]), ',') AS ring,
+ ring[p + 1] AS primary_node, ring[s + 1] AS secondary_node, CASE WHEN made THEN e[len(e)].u END AS created_u, CASE WHEN made THEN e[len(e)].v END AS created_v, n AS n_nodes, m AS n_edges, substr(w, 1, i) AS partial
+ FROM (SELECT *, i > 0 AND m > lag(m) OVER (PARTITION BY id ORDER BY i) AS made FROM (SELECT *, len(list_distinct(list_transform(e, lambda x: least(x.u, x.v) * 1000 + greatest(x.u, x.v))))::BIGINT AS m FROM b_t))""")
 
-def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _strings(spark, sf_dir, "benchmark", "item_id")
 
+def fnv1a_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench(spark, sf_dir).select("id", decode.fnv1a(F.col("w")).alias("fnv1a_64"))
 
-def whole_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graphs of the whole benchmark texts: id, w, n, edges."""
-    return decode.graphs(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), decode.graph_string(F.col("text")).alias("w")))
 
+register("fnv1a_hashes", fnv1a_hashes, """, fnv AS (SELECT id, w, 0 AS i, 14695981039346656037::HUGEINT AS h FROM bench
+ UNION ALL SELECT id, w, i + 1, xor(h, ascii(substr(w, i + 1, 1))::HUGEINT) * 1099511628211 % 18446744073709551616::HUGEINT FROM fnv WHERE i < length(w))
+ SELECT id, lower(lpad(to_hex(h::UBIGINT), 16, '0')) AS fnv1a_64 FROM fnv WHERE i = length(w)""")
 
-def graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.graphs(strings(spark, sf_dir))
 
+def structural_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes at distance 1, 2 and 3 of each node, from the arrays of its graph."""
+    near = f"transform(filter(x, c -> c div {pairs.CODE} = {{a}} OR c % {pairs.CODE} = {{a}}), c -> if(c div {pairs.CODE} = {{a}}, c % {pairs.CODE}, c div {pairs.CODE}))"
+    nodes = bgraphs(spark, sf_dir).select("id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("node"))
+    grown = lambda last: F.expr(f"array_distinct(flatten(transform({last}, a -> {near.replace('{a}', 'a')})))")
+    rows = nodes.withColumn("_1", F.expr(near.replace("{a}", "node")))
+    rows = rows.withColumn("_2", F.array_except(F.array_except(grown("_1"), F.col("_1")), F.array("node")))
+    rows = rows.withColumn("_3", F.array_except(F.array_except(grown("_2"), F.col("_2")), F.array_union(F.col("_1"), F.array("node"))))
+    return rows.select("id", F.col("node").cast("int").alias("node"), *[F.size(f"_{k}").cast("long").alias(f"n{k}") for k in (1, 2, 3)])
 
-def bench_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.edge_rows(decode.graphs(bench(spark, sf_dir)))
 
+register("structural_triplets", structural_triplets, """, und AS (SELECT id, u, v FROM bedges WHERE u <> v UNION ALL SELECT id, v, u FROM bedges WHERE u <> v),
+ d2 AS (SELECT DISTINCT a.id, a.u, b.v FROM und a JOIN und b ON a.id = b.id AND a.v = b.u WHERE a.u <> b.v EXCEPT SELECT id, u, v FROM und),
+ d3 AS (SELECT DISTINCT a.id, a.u, b.v FROM d2 a JOIN und b ON a.id = b.id AND a.v = b.u WHERE a.u <> b.v EXCEPT SELECT id, u, v FROM und EXCEPT SELECT id, u, v FROM d2)
+ SELECT g.id, g.u::INT AS node, count(CASE WHEN d = 1 THEN 1 END) AS n1, count(CASE WHEN d = 2 THEN 1 END) AS n2, count(CASE WHEN d = 3 THEN 1 END) AS n3
+ FROM (SELECT id, unnest(range(0, n)) AS u FROM bgraphs) g LEFT JOIN (SELECT *, 1 AS d FROM und UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3) x ON g.id = x.id AND g.u = x.u GROUP BY g.id, g.u""")
 
-def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of benchmark strings with their distances: k, i, j, n_i, n_j, m_i, m_j, lev, ham."""
-    rows = bench(spark, sf_dir)
-    sizes = decode.graphs(rows).withColumn("m", F.size(F.array_distinct(F.expr("transform(edges, e -> struct(least(e.u, e.v), greatest(e.u, e.v)))"))))
-    return pairs.measured(pairs.indexed(sizes.select("id", "w", "n", "m")), bench_edges(spark, sf_dir), rows.count())
 
+def pair_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every k unfolded to (i, j), and folded again."""
+    n = bench(spark, sf_dir).count()
+    return pairs.pair_range(spark, n).withColumn("back", pairs.pair_index(F.col("i"), F.col("j"), F.lit(n).cast("long")))
 
-RELATIONS: dict[str, Query] = {
-    "strings": strings,
-    "bench": bench,
-    "graphs": lambda s, d: graphs(s, d).select("id", "w", "n"),
-    "edges": lambda s, d: decode.edge_rows(graphs(s, d)),
-    "arcs": lambda s, d: decode.edge_rows(graphs(s, d), directed=True),
-    "bgraphs": lambda s, d: decode.graphs(bench(s, d)).select("id", "w", "n"),
-    "bedges": bench_edges,
-    "chars": lambda s, d: strings(s, d).select("id", F.posexplode(F.split("w", "")).alias("pos", "c")).where("c <> ''").withColumn("pos", F.col("pos") + 1),
-    "pairs": all_pairs,
-}
-for _name in ("events", "lineitem", "documents", "embeddings", "conversations", "orders"):
-    RELATIONS[_name] = lambda s, d, n=_name: _table(s, d, n)
 
+def pair_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = bench(spark, sf_dir).count()
+    return pairs.found_in_rows(spark.range(n * (n - 1) // 2).withColumnRenamed("id", "k"), n).select("k", "i", "j")
 
-def _decoding(name: str, table: str, key: str) -> str:
-    step = """SELECT id, w, i + 1,
-   CASE c WHEN 'V' THEN list_concat(ring[1:p + 1], [n], ring[p + 2:]) WHEN 'v' THEN list_concat(ring[1:s + 1], [n], ring[s + 2:]) ELSE ring END,
-   CASE c WHEN 'N' THEN (p + 1) % len(ring) WHEN 'P' THEN (p + len(ring) - 1) % len(ring) WHEN 'v' THEN p + (p > s)::INT ELSE p END,
-   CASE c WHEN 'n' THEN (s + 1) % len(ring) WHEN 'p' THEN (s + len(ring) - 1) % len(ring) WHEN 'V' THEN s + (s > p)::INT ELSE s END,
-   n + (c IN ('V', 'v'))::INT,
-   CASE c WHEN 'V' THEN list_append(e, {'u': ring[p + 1], 'v': n}) WHEN 'v' THEN list_append(e, {'u': ring[s + 1], 'v': n})
-     WHEN 'C' THEN list_append(e, {'u': ring[p + 1], 'v': ring[s + 1]}) WHEN 'c' THEN list_append(e, {'u': ring[s + 1], 'v': ring[p + 1]}) ELSE e END"""
-    return f"""{name}_s AS (SELECT {key} AS id, substr(regexp_replace(coalesce(text, ''), '[^NnPpVvCcW]', '', 'g'), 1, {LENGTH}) AS w FROM {table}),
- {name}_t AS (SELECT id, w, 0 AS i, [0] AS ring, 0::BIGINT AS p, 0::BIGINT AS s, 1 AS n, []::STRUCT(u INT, v INT)[] AS e FROM {name}_s
-  UNION ALL {step} FROM (SELECT *, substr(w, i + 1, 1) AS c FROM {name}_t WHERE i < length(w))),
- {name}_g AS (SELECT id, w, n, e FROM {name}_t WHERE i = length(w)),
- {name}_a AS (SELECT DISTINCT id, x.u AS u, x.v AS v FROM (SELECT id, unnest(e) AS x FROM {name}_g)),
- {name}_e AS (SELECT DISTINCT id, least(u, v) AS u, greatest(u, v) AS v FROM {name}_a)"""
 
+_ALL_K = ", z AS (SELECT idx, count(*) OVER () AS total FROM bindexed) SELECT {} FROM (SELECT a.idx * a.total - a.idx * (a.idx + 1) // 2 + b.idx - a.idx - 1 AS k, a.idx AS i, b.idx AS j FROM z a JOIN z b ON a.idx < b.idx)"
+register("pair_index_roundtrip", pair_index_roundtrip, _ALL_K.format("k, i, j, k AS back"))
+register("pair_index_search", pair_index_search, _ALL_K.format("k, i, j"))
 
-PRELUDE = f"""WITH RECURSIVE {_decoding("d", "documents", "doc_id")}, {_decoding("b", "benchmark", "item_id")},
- strings AS (SELECT * FROM d_s), bench AS (SELECT * FROM b_s), graphs AS (SELECT id, w, n FROM d_g), arcs AS (SELECT * FROM d_a), edges AS (SELECT * FROM d_e),
- bgraphs AS (SELECT id, w, n FROM b_g), bedges AS (SELECT * FROM b_e),
- chars AS (SELECT id, p AS pos, substr(w, p, 1) AS c FROM (SELECT id, w, unnest(range(1, length(w) + 1)) AS p FROM d_s)),
- b_i AS (SELECT row_number() OVER (ORDER BY id) - 1 AS idx, g.id, w, n, coalesce(m, 0) AS m, count(*) OVER () AS total
-         FROM b_g g LEFT JOIN (SELECT id, count(*) AS m FROM b_e GROUP BY id) USING (id)),
- common AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM b_e x JOIN b_e y ON x.u = y.u AND x.v = y.v AND x.id <> y.id GROUP BY 1, 2),
- pairs AS (SELECT a.idx * a.total - a.idx * (a.idx + 1) // 2 + b.idx - a.idx - 1 AS k, a.idx AS i, b.idx AS j, a.n AS n_i, b.n AS n_j, a.m AS m_i, b.m AS m_j,
-           levenshtein(a.w, b.w) AS lev, a.m + b.m - 2 * coalesce(c, 0) AS ham
-           FROM b_i a JOIN b_i b ON a.idx < b.idx LEFT JOIN common ON common.a = a.id AND common.b = b.id)
-"""
-
-#: Text that both engines read, but for the words of _SPARK and _DUCK.
-SHARED = {
-    "s2g_decode_stats": """SELECT g.id, CAST(length(w) AS INT) AS len, CAST(n AS INT) AS n_nodes, CAST(coalesce(m, 0) AS BIGINT) AS n_edges
-        FROM {graphs} g LEFT JOIN (SELECT id, count(*) AS m FROM {edges} GROUP BY id) e ON g.id = e.id""",
-    "s2g_edges": "SELECT id, CAST(u AS INT) AS u, CAST(v AS INT) AS v FROM {edges}",
-    "s2g_directed_edges": "SELECT id, CAST(u AS INT) AS u, CAST(v AS INT) AS v FROM {arcs}",
-    "s2g_self_loops": "SELECT id, count(*) AS n_loops FROM {edges} WHERE u = v GROUP BY id",
-    "instruction_histogram": "SELECT c AS instruction, count(*) AS n, count(DISTINCT id) AS n_strings FROM {chars} GROUP BY c",
-    "instruction_fractions": """SELECT c AS instruction, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM {chars}), 9) AS fraction FROM {chars} GROUP BY c""",
-    "string_entropy": """SELECT id, round(-sum(p * ln(p)) / ln(2), 6) + 0.0 AS bits_per_symbol FROM
-        (SELECT id, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY id) AS p FROM {chars} GROUP BY id, c) x GROUP BY id""",
-    "message_lengths": """SELECT g.id, CAST(length(w) AS INT) AS len, round(length(w) * ln(9) / ln(2), 6) AS bits,
-        round(CAST(n AS DOUBLE) * (n - 1) / 2, 1) AS adjacency_bits FROM {graphs} g""",
-    "message_length_summary": """SELECT CAST(n AS INT) AS n_nodes, count(*) AS n_graphs, round(avg(length(w) * ln(9) / ln(2)), 6) AS mean_bits,
-        CAST(min(length(w)) AS INT) AS shortest, CAST(max(length(w)) AS INT) AS longest FROM {graphs} GROUP BY n""",
-    "compression_ratio": """SELECT g.id, round(length(w) * ln(9) / ln(2) / (CAST(n AS DOUBLE) * (n - 1) / 2), 6) AS ratio FROM {graphs} g WHERE n > 1""",
-    "graph_density": """SELECT g.id, CASE WHEN n < 2 THEN 0.0 ELSE round(CAST(2 * coalesce(m, 0) AS DOUBLE) / (n * (n - 1)), 9) END AS density
-        FROM {graphs} g LEFT JOIN (SELECT id, count(*) AS m FROM {edges} WHERE u < v GROUP BY id) e ON g.id = e.id""",
-    "cohort_filter": """SELECT id, CAST(n AS INT) AS n_nodes, CASE WHEN n < 2 THEN 'trivial' WHEN n > 10 THEN 'too_large' END AS reason FROM {graphs}""",
-    "filter_report": """SELECT count(*) AS n_total, count(CASE WHEN n < 2 THEN 1 END) AS n_trivial, count(CASE WHEN n > 10 THEN 1 END) AS n_too_large,
-        round(CAST(100 * count(CASE WHEN n BETWEEN 2 AND 10 THEN 1 END) AS DOUBLE) / count(*), 1) AS pct_kept FROM {graphs}""",
-    "cohort_audit": """SELECT CASE WHEN n BETWEEN 2 AND 10 THEN 1 ELSE 0 END AS kept, count(*) AS n_graphs, round(avg(CAST(n AS DOUBLE)), 9) AS mean_nodes,
-        CAST(min(n) AS INT) AS min_nodes, CAST(max(n) AS INT) AS max_nodes FROM {graphs} GROUP BY 1""",
-    "node_count_histogram": "SELECT CAST(n AS INT) AS n_nodes, count(*) AS n_graphs FROM {graphs} GROUP BY n",
-    "degree_sequence": """SELECT id, node, count(*) AS degree FROM
-        (SELECT id, CAST(u AS INT) AS node FROM {edges} WHERE u <> v UNION ALL SELECT id, CAST(v AS INT) FROM {edges} WHERE u <> v) x GROUP BY id, node""",
-    "structural_triplets": """WITH und AS (SELECT id, u, v FROM {bedges} WHERE u <> v UNION ALL SELECT id, v, u FROM {bedges} WHERE u <> v),
-        d2 AS (SELECT DISTINCT a.id, a.u, b.v FROM und a JOIN und b ON a.id = b.id AND a.v = b.u WHERE a.u <> b.v
-               EXCEPT SELECT id, u, v FROM und),
-        d3 AS (SELECT DISTINCT a.id, a.u, b.v FROM d2 a JOIN und b ON a.id = b.id AND a.v = b.u WHERE a.u <> b.v
-               EXCEPT SELECT id, u, v FROM und EXCEPT SELECT id, u, v FROM d2)
-        SELECT id, CAST(u AS INT) AS node, count(CASE WHEN d = 1 THEN 1 END) AS n1, count(CASE WHEN d = 2 THEN 1 END) AS n2, count(CASE WHEN d = 3 THEN 1 END) AS n3
-        FROM (SELECT *, 1 AS d FROM und UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3) x GROUP BY id, u""",
-    "wl_colours": """WITH und AS (SELECT id, u, v FROM {bedges} WHERE u <> v UNION ALL SELECT id, v, u FROM {bedges} WHERE u <> v),
-        c0 AS (SELECT id, u, md5(CAST(count(*) AS {text})) AS c FROM und GROUP BY id, u),
-        c1 AS (SELECT a.id, a.u, md5(concat(min(a.c), ':', {listed})) AS c FROM c0 a JOIN und e ON a.id = e.id AND a.u = e.u
-               JOIN c0 b ON e.id = b.id AND e.v = b.u GROUP BY a.id, a.u)
-        SELECT id, CAST(u AS INT) AS node, c AS colour FROM c1""",
-    "wl_kernel": """WITH und AS (SELECT id, u, v FROM {bedges} WHERE u <> v UNION ALL SELECT id, v, u FROM {bedges} WHERE u <> v),
-        f AS (SELECT id, c, count(*) AS n FROM (SELECT id, u, count(*) AS c FROM und GROUP BY id, u) x GROUP BY id, c)
-        SELECT a.id AS a, b.id AS b, CAST(sum(a.n * b.n) AS BIGINT) AS kernel FROM f a JOIN f b ON a.c = b.c AND a.id <= b.id GROUP BY a.id, b.id""",
-    "levenshtein_pairs": "SELECT CAST(k AS BIGINT) AS k, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(lev AS INT) AS lev FROM {pairs}",
-    "padded_hamming": "SELECT CAST(k AS BIGINT) AS k, CAST(ham AS BIGINT) AS ham FROM {pairs}",
-    "pair_index_roundtrip": """SELECT CAST(k AS BIGINT) AS k, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM {pairs}""",
-    "bracket_width": """SELECT CAST(k AS BIGINT) AS k, CAST(abs(m_i - m_j) AS INT) AS lb, CAST(ham AS INT) AS ub,
-        CASE WHEN ham = 0 THEN 0.0 ELSE round(CAST(ham - abs(m_i - m_j) AS DOUBLE) / ham, 9) END AS width FROM {pairs}""",
-    "certified_rate": """SELECT CAST(greatest(n_i, n_j) AS INT) AS n_max, count(*) AS n_pairs, round(avg(CASE WHEN ham = abs(m_i - m_j) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 9) AS certified
-        FROM {pairs} GROUP BY 1""",
-    "metric_axioms": """SELECT count(CASE WHEN lev < 0 OR ham < 0 THEN 1 END) AS n_negative, count(CASE WHEN ham < abs(m_i - m_j) THEN 1 END) AS n_below_bound,
-        count(*) AS n_pairs FROM {pairs}""",
-    "triangle_violations": """SELECT count(*) AS n_triples, count(CASE WHEN a.lev > b.lev + c.lev OR b.lev > a.lev + c.lev OR c.lev > a.lev + b.lev THEN 1 END) AS n_violations
-        FROM {pairs} a JOIN {pairs} b ON a.i = b.i AND a.j < b.j JOIN {pairs} c ON c.i = a.j AND c.j = b.j""",
-    "pearson": "SELECT round(corr(CAST(lev AS DOUBLE), CAST(ham AS DOUBLE)), 6) AS r, count(*) AS n FROM {pairs}",
-    "midranks": """SELECT CAST(k AS BIGINT) AS k, rank() OVER (ORDER BY lev) + (count(*) OVER (PARTITION BY lev) - 1) / CAST(2 AS DOUBLE) AS midrank FROM {pairs}""",
-    "spearman": """SELECT round(corr(x, y), 6) AS rho FROM (SELECT rank() OVER (ORDER BY lev) + (count(*) OVER (PARTITION BY lev) - 1) / CAST(2 AS DOUBLE) AS x,
-        rank() OVER (ORDER BY ham) + (count(*) OVER (PARTITION BY ham) - 1) / CAST(2 AS DOUBLE) AS y FROM {pairs}) z""",
-    "ols_fit": """SELECT round(regr_slope(CAST(ham AS DOUBLE), CAST(lev AS DOUBLE)), 6) AS slope, round(regr_intercept(CAST(ham AS DOUBLE), CAST(lev AS DOUBLE)), 6) AS intercept,
-        round(regr_r2(CAST(ham AS DOUBLE), CAST(lev AS DOUBLE)), 6) AS r2 FROM {pairs}""",
-    "lins_ccc": """SELECT round(2 * covar_pop(x, y) / (var_pop(x) + var_pop(y) + (avg(x) - avg(y)) * (avg(x) - avg(y))), 6) AS ccc
-        FROM (SELECT CAST(lev AS DOUBLE) AS x, CAST(ham AS DOUBLE) AS y FROM {pairs}) z""",
-    "cohens_d": """SELECT round((avg(x) - avg(y)) / sqrt((var_samp(x) + var_samp(y)) / 2), 6) AS d FROM (SELECT CAST(lev AS DOUBLE) AS x, CAST(ham AS DOUBLE) AS y FROM {pairs}) z""",
-    "stratified_mean": """SELECT CAST(greatest(n_i, n_j) AS INT) AS n_max, count(*) AS n, round(avg(CAST(lev AS DOUBLE)), 9) AS mean_lev, round(coalesce(stddev_samp(CAST(lev AS DOUBLE)), 0.0), 6) AS sd_lev
-        FROM {pairs} GROUP BY 1""",
-    "kruskal_stress": "SELECT round(sqrt(sum(CAST((lev - ham) * (lev - ham) AS DOUBLE)) / sum(CAST(lev * lev AS DOUBLE))), 6) AS stress FROM {pairs}",
-    "quantile_summary": "SELECT round({q25}, 6) AS q25, round({q50}, 6) AS q50, round({q75}, 6) AS q75 FROM {pairs}",
-    "knn_topk": """SELECT CAST(q AS INT) AS q, CAST(o AS INT) AS o, CAST(r AS INT) AS r FROM (SELECT q, o, row_number() OVER (PARTITION BY q ORDER BY lev, o) AS r
-        FROM (SELECT i AS q, j AS o, lev FROM {pairs} UNION ALL SELECT j, i, lev FROM {pairs}) x) y WHERE r <= 5""",
-    "precision_at_k": """WITH two AS (SELECT i AS q, j AS o, lev, ham FROM {pairs} UNION ALL SELECT j, i, lev, ham FROM {pairs}),
-        ranked AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY lev, o) AS a, row_number() OVER (PARTITION BY q ORDER BY ham, o) AS b FROM two)
-        SELECT CAST(q AS INT) AS q, CAST(count(CASE WHEN a <= 5 AND b <= 5 THEN 1 END) AS DOUBLE) / 5 AS p_at_5 FROM ranked GROUP BY q""",
-    "stratified_sample": """SELECT id, CAST(n AS INT) AS n_nodes FROM (SELECT id, n, row_number() OVER (PARTITION BY n ORDER BY md5(CAST(id AS {text})), id) AS r FROM {graphs}) x WHERE r <= 5""",
-    "bin_table_cube": """SELECT n_bin, len_bin, count(*) AS n FROM (SELECT CAST(least(n, 12) AS INT) AS n_bin, CASE WHEN length(w) < 24 THEN 'short' ELSE 'full' END AS len_bin
-        FROM {graphs}) x GROUP BY CUBE (n_bin, len_bin)""",
-    "shard_merge": """SELECT CAST(k AS BIGINT) AS k, count(*) AS copies, CAST(max(lev) AS INT) AS value, CASE WHEN min(lev) = max(lev) THEN 1 ELSE 0 END AS agree
-        FROM (SELECT k, lev FROM {pairs} WHERE k % 3 <> 0 UNION ALL SELECT k, lev FROM {pairs} WHERE k % 3 <> 1) x GROUP BY k""",
-    "resume_anti_join": """SELECT CAST(k AS BIGINT) AS k FROM {pairs} p WHERE NOT EXISTS (SELECT 1 FROM {pairs} d WHERE d.k = p.k AND d.lev <= 10)""",
-    "crossfill": """SELECT CAST(a.k AS BIGINT) AS k, CAST(greatest(a.lb, coalesce(b.lb, 0)) AS INT) AS lb, CAST(least(a.ub, coalesce(b.ub, a.ub)) AS INT) AS ub FROM
-        (SELECT k, abs(m_i - m_j) AS lb, m_i + m_j AS ub FROM {pairs}) a LEFT JOIN (SELECT k, abs(n_i - n_j) AS lb, ham AS ub FROM {pairs} WHERE k % 2 = 0) b ON a.k = b.k""",
-    "user_transitions": """SELECT user_id, prev AS from_type, event_type AS to_type, count(*) AS n FROM
-        (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM {events}) x WHERE prev IS NOT NULL GROUP BY 1, 2, 3""",
-    "order_supplier_graph": """SELECT a.s AS u, b.s AS v, count(*) AS n_orders FROM (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM {lineitem}) a
-        JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM {lineitem}) b ON a.o = b.o AND a.s < b.s GROUP BY 1, 2""",
-    "conversation_paths": """SELECT conv_id, count(*) AS n_turns, count(next) AS n_edges FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next
-        FROM {conversations}) x GROUP BY conv_id""",
-    "edit_neighbourhood": """WITH w AS (SELECT id, w, length(w) AS l FROM {bench}), a AS (SELECT c FROM (VALUES ('N'), ('n'), ('P'), ('p'), ('V'), ('v'), ('C'), ('c'), ('W')) AS t(c)),
-        p AS (SELECT id, w, l, {series} AS p FROM w),
-        x AS (SELECT id, w, concat(substr(w, 1, CAST(p AS INT) - 1), substr(w, CAST(p AS INT) + 1)) AS y FROM p WHERE p <= l
-          UNION SELECT id, w, concat(substr(w, 1, p - 1), c, substr(w, p + 1)) FROM p CROSS JOIN a WHERE p <= l
-          UNION SELECT id, w, concat(substr(w, 1, p - 1), c, substr(w, p)) FROM p CROSS JOIN a)
-        SELECT id, y AS neighbour FROM x WHERE y <> w""",
-}
-_SPARK = {"text": "STRING", "listed": "listagg(b.c, ',') WITHIN GROUP (ORDER BY b.c)", "series": "explode(sequence(1, l + 1))",
-          "q25": "percentile(lev, 0.25)", "q50": "percentile(lev, 0.5)", "q75": "percentile(lev, 0.75)"}
-_DUCK = {"text": "VARCHAR", "listed": "string_agg(b.c, ',' ORDER BY b.c)", "series": "unnest(range(1, l + 2))",
-         "q25": "quantile_cont(lev, 0.25)", "q50": "quantile_cont(lev, 0.5)", "q75": "quantile_cont(lev, 0.75)"}
-
-
-def _fill(sql: str, words: dict[str, str]) -> str:
-    for k, v in words.items():
-        sql = sql.replace("{" + k + "}", v)
-    return sql
-
-
-def _shared(sql: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        used = {n: f(spark, sf_dir) for n, f in RELATIONS.items() if "{" + n + "}" in sql}
-        return spark.sql(_fill(sql, _SPARK), **used)
-
-    return run
-
-
-def _oracle(sql: str) -> str:
-    return f"{PRELUDE} SELECT * FROM ({_fill(_fill(sql, _DUCK), {n: n for n in RELATIONS})}) AS q"
-
-
-QUERIES: dict[str, Query] = {name: _shared(sql) for name, sql in SHARED.items()}
-ORACLE_SQL: dict[str, str] = {name: _oracle(sql) for name, sql in SHARED.items()}
-
-QUERIES["s2g_trace"] = lambda s, d: decode.trace(bench(s, d)).withColumns({"n_edges": F.col("n_edges").cast("long")})
-ORACLE_SQL["s2g_trace"] = f"""{PRELUDE} SELECT id, i AS step, CASE WHEN i = 0 THEN '' ELSE substr(w, i, 1) END AS instruction,
- ring[p + 1] AS primary_node, ring[s + 1] AS secondary_node, n AS n_nodes, CAST(len(list_distinct(e)) AS BIGINT) AS n_edges FROM b_t"""
-
-QUERIES["displacement_pairs"] = lambda s, d: s.sql(
-    "SELECT a, b, row_number() OVER (ORDER BY abs(a) + abs(b), abs(a), a, b) AS place FROM (SELECT explode(sequence(-4, 4)) AS a) x CROSS JOIN (SELECT explode(sequence(-4, 4)) AS b) y"
+register(
+    "displacement_pairs",
+    lambda s, d: s.sql(
+        "SELECT a, b, row_number() OVER (ORDER BY abs(a) + abs(b), abs(a), a, b) AS place FROM (SELECT explode(sequence(-4, 4)) AS a) x CROSS JOIN (SELECT explode(sequence(-4, 4)) AS b) y"
+    ),
 )
 ORACLE_SQL["displacement_pairs"] = (
     "SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, row_number() OVER (ORDER BY abs(a) + abs(b), abs(a), a, b)::INT AS place FROM range(-4, 5) x(a) CROSS JOIN range(-4, 5) y(b)"
 )
 
-
-def _encoded(method: str) -> Query:
-    """Encodings with what decoding them must give back: the same numbers of nodes and edges.
-
-    Where the search ends beyond its budget, encoding and same_size are null."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        whole = whole_graphs(spark, sf_dir)
-        w = encode.encoded(whole, method).where("encoding IS NOT NULL")
-        back = decode.graphs(w.select("id", F.col("encoding").alias("w")))
-        edges = "size(array_distinct(transform(edges, e -> struct(least(e.u, e.v), greatest(e.u, e.v)))))"
-        a = whole.select("id", F.col("n").alias("n_nodes"), F.expr(edges).alias("n_edges"))
-        b = back.select("id", F.col("w").alias("encoding"), F.col("n").alias("n_back"), F.expr(edges).alias("m_back"))
-        return a.join(b, "id", "left").withColumn("same_size", (F.col("n_nodes") == F.col("n_back")) & (F.col("n_edges") == F.col("m_back"))).drop("n_back", "m_back")
-
-    return run
-
-
-for _name, _method in (("greedy_single", "single"), ("greedy_min", "min"), ("pruned_canonical", "pruned"), ("canonical", "exhaustive")):
-    QUERIES[f"g2s_{_name}"] = _encoded(_method)
-QUERIES["isomorphism_classes"] = lambda s, d: encode.isomorphism_classes(whole_graphs(s, d))
+for _name, (_query, _text) in searches.SEARCHES.items():
+    register(_name, _query, _text)
