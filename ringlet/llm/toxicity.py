@@ -40,8 +40,8 @@ HASH_BITS, WINDOW, STEPS, RATE, L2 = 18, 24, 60, 0.3, 1e-4
 THRESHOLD, SUSPICIOUS, UNLIKELY, SURE = 0.7, 0.05, 2, 2.5
 _SUB = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Tokens whose emissions are remembered (some 12 MB), tokens of a run of documents, windows of a training step.
-_CACHE, _BATCH_TOKENS, _BATCH_WINDOWS = 100_000, 250_000, 4_096
+#: Tokens whose emissions are remembered (some 25 MB), tokens of a run of documents, windows of a training step.
+_CACHE, _BATCH_TOKENS, _BATCH_WINDOWS = 200_000, 250_000, 4_096
 
 
 def held_out(doc_id: Column, parts: int, which: int) -> Column:
