@@ -3,7 +3,8 @@
 The regression is trained on the driver from a small labelled URL table; scoring needs no shuffle.
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule, and the
-verdict of the regression on nothing; repeated rows are judged alike; an empty table gives an empty result.
+verdict of the regression on nothing; repeated rows are judged alike; urls of any length are read whole; columns besides
+page_id and url play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlet.llm.common import ascii_lower, table
+from ringlet.llm.common import ascii_lower, table, tidy
 
 #: (rule, verdict): host, then path from its first slash.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -36,10 +37,15 @@ GOOD_NAMES = (
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small table: every name under several prefixes, suffixes and paths."""
-    frames = ("http://www.{}.example.com/en/12", "https://blog.{}.example.org/fr/7.html", "https://{}.example.net/de/345/",
-              "http://m.{}.example.com/es/99?page=2", "https://{}.example.org/")
-    return [(f.format(n), y) for y, names in ((1, BAD_NAMES), (0, GOOD_NAMES)) for n in names for f in frames]
+    """The small table: names of either kind in hosts with plain paths, and in paths on plain hosts and on hosts of good names, so
+    that hosts and paths are learnt apart.  A url with a bad name anywhere is to be blocked."""
+    hosts = ("http://www.{}.example.com/en/12", "https://blog.{}.example.org/fr/7.html", "https://{}.example.net/de/345/", "http://m.{}.example.com/es/99?page=2", "https://{}.example.org/")
+    paths = ("http://www.example.com/{}", "https://example.org/en/{}/7.html", "https://m.example.net/{}-12/", "http://example.com/de/345/{}?x=1")
+    rows = [(f.format(n), y) for y, names in ((1, BAD_NAMES), (0, GOOD_NAMES)) for n in names for f in (*hosts, *paths)]
+    for k, (bad, good) in enumerate(zip(BAD_NAMES, GOOD_NAMES, strict=True)):
+        other = GOOD_NAMES[(k + 5) % len(GOOD_NAMES)]
+        rows += [(f"https://{good}.example.org/{bad}/", 1), (f"https://{bad}.example.org/{good}/", 1), (f"https://{good}.example.org/{other}/", 0)]
+    return rows
 
 
 def host(url: Column) -> Column:
@@ -112,7 +118,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, urls: l
     kind = pages.schema["page_id"].dataType.simpleString()
     url = F.col("url")
     parts = pages.select("page_id", F.coalesce(host(url), F.lit("")).alias("host"), F.coalesce(path(url), F.lit("")).alias("path"))
-    out = parts.mapInArrow(run, f"page_id {kind}, host string, path string, block_score double").withColumn("_rule", ruled(F.col("host"), F.col("path"), rules))
+    out = parts.mapInArrow(tidy(run), f"page_id {kind}, host string, path string, block_score double").withColumn("_rule", ruled(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "_rule.rule", F.coalesce("_rule.verdict", method).alias("verdict"), "block_score")
 
