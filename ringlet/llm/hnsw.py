@@ -1,8 +1,9 @@
 """Nearest neighbours by a hierarchical navigable small-world graph for each shard.
 
-Vectors are dealt to shards of about ``SHARD_ROWS`` by the hash of their id.  A shard's graph is
+Vectors are dealt to shards by the hash of their id: about two for each core, of ``LEAST_ROWS`` to ``MOST_ROWS``.  A shard's graph is
 built in one task and stored as one row of flat arrays: vectors, ids, and for each level a matrix of
-neighbour positions.  Queries go to every shard in blocks; each shard answers with its nearest by exact double
+neighbour positions.  Each shard's row goes to one task, and the queries come to it in blocks, so that
+vectors move once; the task holds one shard and one block at a time.  A shard answers with its nearest by exact double
 distances on the original vectors, and the answers are merged per query.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
@@ -23,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ringlet.llm.common import Scratch, table
+from ringlet.llm.common import Scratch, table, tidy
 
-SHARD_ROWS, QUERY_BLOCK, M, EF_BUILD, EF_SEARCH, K = 4096, 1024, 16, 80, 96, 10
+LEAST_ROWS, MOST_ROWS, QUERY_BLOCK, M, EF_BUILD, EF_SEARCH, K = 4096, 65_536, 1024, 16, 80, 96, 10
 
 
 class Graph:
@@ -174,21 +175,28 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(ok & F.col("vec_id").isNotNull()).withColumn("dim", F.size("embedding"))
 
 
-def build_index(rows: DataFrame, scratch: Scratch, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(rows: DataFrame, scratch: Scratch, shard_rows: int | None = None) -> DataFrame:
     """The stored index of ``usable`` rows: one row of flat arrays for each dimension and shard."""
-    shards = max(1, round(rows.count() / shard_rows))
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, round(n / (shard_rows or max(LEAST_ROWS, min(MOST_ROWS, n // (2 * cores))))))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    # A fixed number of tasks: adaptive coalescing goes by bytes, and would put shards that are few bytes but much work together.
+    dealt = dealt.repartition(shards, "dim", "shard")
     return scratch.write(dealt.groupBy("dim", "shard").applyInArrow(_index, INDEX), "index")
 
 
 def _answer(batches: Iterator[pa.RecordBatch], k: int, ef: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of shard: the shard's arrays (block -1), then blocks of queries."""
+    g = exact = ids = starts = None
     for batch in batches:
-        for r in batch.to_pylist():
-            dim = r["dim"]
-            exact = np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
-            links = [np.frombuffer(b, np.int32).reshape(len(exact), -1) for b in r["links"]]
-            g = Graph(exact.astype(np.float32), links, r["entry"])
-            ids, starts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["starts"], np.int64)
+        for at in range(batch.num_rows):
+            r = batch.slice(at, 1).to_pylist()[0]
+            if r["block"] < 0:
+                exact = np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"])
+                links = [np.frombuffer(b, np.int32).reshape(len(exact), -1) for b in r["links"]]
+                g = Graph(exact.astype(np.float32), links, r["entry"])
+                ids, starts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["starts"], np.int64)
+                continue
             out: tuple[list, list, list, list] = ([], [], [], [])
             for query, ask, vector in zip(r["queries"], r["asks"], r["query_vectors"], strict=True):
                 q = np.array(vector)
@@ -216,9 +224,12 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEARC
     asked = queries.select("dim", block, "vec_id", "ask", "embedding").groupBy("dim", "block").agg(
         F.collect_list("vec_id").alias("queries"), F.collect_list("ask").alias("asks"), F.collect_list("embedding").alias("query_vectors")
     )
-    pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("shard", "block")
-    answers = pairs.join(asked, ["dim", "block"]).drop("block", "shard")
-    answers = answers.mapInArrow(lambda it: _answer(it, k, ef), "query_id long, ask int, vec_id long, score double")
+    shards = index.select("dim", "shard")
+    asked = shards.join(asked, "dim")
+    rows = index.withColumn("block", F.lit(-1)).unionByName(asked, allowMissingColumns=True)
+    rows = rows.repartition(max(shards.count(), 1), "dim", "shard").sortWithinPartitions("dim", "shard", "block")
+    answers = rows.select("dim", "block", "vectors", "ids", "starts", "entry", "links", "queries", "asks", "query_vectors")
+    answers = answers.mapInArrow(tidy(lambda it: _answer(it, k, ef)), "query_id long, ask int, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy("score", "vec_id"))
     return answers.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
