@@ -98,11 +98,6 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns only, so that extra columns never clash with ours."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def stable_files(docs: DataFrame, scratch: Scratch) -> tuple[str, str]:
     """Folder and file pattern that hold exactly ``docs``; writes them where they are no plain scan."""
     plan = docs._jdf.queryExecution().optimizedPlan().toString().strip()

@@ -6,14 +6,16 @@ candidates that no base span overlaps.  Labelers vote on all of them: a format l
 gazetteer (top-level domains, card issuers, area codes, address prefixes), a context labeler (words before
 the span that announce its kind) and a counter-context labeler (words that announce something else).
 Expectation-maximisation estimates how reliable each labeler is, and a logistic span classifier is
-trained on its posteriors.  Both see only the counts of vote patterns, a table of fixed size
-(four kinds, 3^4 votes, three lengths, base or not), which is all that reaches the driver.
+trained on its posteriors; it sees features of the span too (its length, the character before it, how many kinds of separators it
+has).  Both see only the counts of patterns of votes and features, a table of fixed size
+(four kinds, 3^4 votes, three lengths, four neighbours, four counts, base or not), which is all that reaches the driver.
 
 One scan of the texts; its spans are written, counted, and read again.  The patterns are possessive, so
 that neither long runs nor many repeats make them slow or deep.
 
 Defined results: null text counts as empty and has no spans; repeated rows get the same spans; an empty table
-gives an empty result.  Positions are code points, ends exclusive.
+gives an empty result; very long texts are searched whole; columns besides doc_id and text play no part.  Positions are
+code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -102,10 +104,14 @@ def _is(kind: str) -> Callable[[Column], Column]:
 
 
 def votes(kind: str, value: Column, before: Column) -> Column:
-    """Pattern of one candidate: kind, votes (+, 0, -) and length class."""
+    """Pattern of one candidate: kind, votes (+, 0, -), and features: length class, the character before the span (none, white space,
+    word, other), and kinds of separators within it (3 for more)."""
     yes, none, no = F.lit("+"), F.lit("0"), F.lit("-")
     form = luhn(digits(value)) if kind == "card" else value.rlike(FORMAT[kind])
     size = F.length(value)
+    last = F.substring(before, -1, 1)
+    inside = F.size(F.array_distinct(F.split(F.regexp_replace(value, "[A-Za-z0-9]", ""), "")))
+    inside = F.when(F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")) == 0, F.lit(0)).otherwise(F.least(inside, F.lit(3)))
     return F.concat(
         F.lit(KINDS.index(kind)),
         F.when(form, yes).otherwise(no if kind == "card" else none),
@@ -113,6 +119,8 @@ def votes(kind: str, value: Column, before: Column) -> Column:
         F.when(before.rlike(CONTEXT[kind]), yes).otherwise(none),
         F.when(before.rlike(COUNTER), no).otherwise(none),
         F.when(size < 12, "s").when(size < 20, "m").otherwise("l"),
+        F.when(last == "", "n").when(last.rlike(r"\s"), "s").when(last.rlike(r"\w"), "w").otherwise("p"),
+        inside,
     )
 
 
