@@ -163,7 +163,7 @@ def shard_documents(
     """Each row's shard, and its place there, gapless from 0.
 
     ``slot_map``, or else the latest stored map of ``name``, or else an even one is rebalanced; with a name, each new version is
-    stored.  The map and the first place of each slot have ``n_slots`` rows whatever the input, and are broadcast.  Rows are written
+    stored.  The map and the first place of each slot have ``n_slots`` rows whatever the input, and are broadcast; the parts' are not.  Rows are written
     once with the part of the scan that they came from; places are counted within (slot, part), and the parts before, so that a
     slot that one repeated doc_id fills is still spread over tasks.
     """
@@ -186,7 +186,7 @@ def shard_documents(
     starts = counts.select("virtual_slot", "_part", F.coalesce(F.sum("_n").over(before("virtual_slot").orderBy("_part")), F.lit(0)).alias("_start"))
     starts = scratch.write(starts.join(F.broadcast(slots), "virtual_slot"), "starts")
     place = F.row_number().over(Window.partitionBy("virtual_slot", "_part").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = rows.withColumn("_place", place).join(starts, ["virtual_slot", "_part"])
+    out = rows.withColumn("_place", place).join(starts.hint("merge"), ["virtual_slot", "_part"])
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("_first") + F.col("_start") + F.col("_place")).alias("slot"), "virtual_slot"), new
 
 
