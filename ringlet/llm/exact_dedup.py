@@ -93,14 +93,15 @@ def groups(
     docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_trigger: int = FILES_PER_TRIGGER,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Every row with ``keep_id``, ``group_size``, ``kept`` and the digest; ``carry`` names more
-    columns of ``docs`` to return."""
+    """Every row: _id, _keep (the doc_id that stays), _size of the group, _kept and _digest; ``carry`` names more
+    columns of ``docs``, returned as _carry_0 and so on, so that none clashes with ours."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     files, schema = stable_files(docs, scratch), docs.schema
     state = keyed_state(spark, files, schema, scratch, digest, files_per_trigger)
     scan = rescan(docs, files)
-    rows = _located(scan, digest, *[F.col(f"`{c}`") for c in carry])
+    held = [F.col(f"_carry_{k}") for k in range(len(carry))]
+    rows = _located(scan, digest, *[F.col(f"`{c}`").alias(f"_carry_{k}") for k, c in enumerate(carry)])
 
     # Full bytes of the digests that were hit: the join's skew can be split; min and max
     # combine within each task before their exchange, so copies do not pile up.
@@ -121,7 +122,7 @@ def groups(
             .unionByName(bad.join(exact, "_norm").drop("_norm"))
         )
     return joined.select(
-        *[F.col(f"`{c}`") for c in carry],
+        *held,
         F.col("_id"), F.col("last.doc_id").alias("_keep"), F.col("n").alias("_size"),
         (F.col("_at") == F.col("last")).alias("_kept"), "_digest",
     )
@@ -146,5 +147,6 @@ WINDOW w AS (PARTITION BY h)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that stay, with the columns of ``docs``."""
-    return groups(docs, carry=tuple(docs.columns)).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that stay, with the columns of ``docs``: of equal texts (null: empty; A-Z folded) the one of the largest doc_id,
+    null ids last; repeated rows leave one; an empty table stays empty."""
+    return groups(docs, carry=tuple(docs.columns)).where("_kept").select(*[F.col(f"_carry_{k}").alias(c) for k, c in enumerate(docs.columns)])

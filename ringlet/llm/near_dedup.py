@@ -203,9 +203,9 @@ def grouped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     if not carry:
         return out.select("doc_id", "n_shingles", "component_id", "stays")
     gone = scratch.write(out.where("NOT stays").select(F.col("file").alias("_file"), F.col("row").alias("_row")), "gone")
-    full = scan.select(*[F.col(f"`{c}`") for c in carry], *[c.alias(f"_at_{i}") for i, c in enumerate(where)])
+    full = scan.select(*[F.col(f"`{c}`").alias(f"_carry_{k}") for k, c in enumerate(carry)], *[c.alias(f"_at_{i}") for i, c in enumerate(where)])
     full = full.join(gone, (F.col("_at_0") == F.col("_file")) & (F.col("_at_1") == F.col("_row")), "left_anti")
-    return full.select(*[F.col(f"`{c}`") for c in carry])
+    return full.select(*[F.col(f"_carry_{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +217,8 @@ def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, with the columns of ``docs``."""
+    """One document of each group, the first by doc_id (null ids last), with the columns of ``docs``; null and blank texts are groups of
+    their own, and all stay; an empty table stays empty."""
     return grouped(docs, carry=tuple(docs.columns))
 
 

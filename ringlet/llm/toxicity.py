@@ -409,7 +409,8 @@ def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold, with all columns of ``docs``."""
+    """Documents that score under the threshold, with all columns of ``docs``, null and blank texts among them; without toxic labels, and
+    on an empty table, all stay."""
     crf = fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "toxicstage"))
     if crf is None:
         return docs
