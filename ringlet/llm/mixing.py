@@ -113,10 +113,11 @@ class Mix:
     pieces: DataFrame
 
 
-def mix(rows: DataFrame, scratch: Scratch, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> Mix:
-    """Plan the mix of ``rows`` (key columns, source, size): see the module's text."""
-    keys = [c for c in rows.columns if c not in ("source", "size")]
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "size", *keys), F.lit(BUCKETS)).cast("int")
+def mix(rows: DataFrame, scratch: Scratch, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, order: tuple[str, ...] = ()) -> Mix:
+    """Plan the mix of ``rows`` (key columns, source, size): see the module's text.  ``order`` names the keys that place a row
+    on its source's line, all if none; the others only tell equal rows apart."""
+    keys = sorted((c for c in rows.columns if c not in ("source", "size")), key=lambda c: (c not in order, c))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "size", *(order or keys)), F.lit(BUCKETS)).cast("int")
     rows = scratch.write(rows.withColumn("bucket", bucket), "rows")
     sums = scratch.write(rows.groupBy("source", "bucket").agg(F.sum("size").alias("s")), "sums")
     planned = targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")))
@@ -175,12 +176,13 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: a row for each time that a document is taken, with the words taken
     then (its whole text where all its blocks are); same columns.  Documents of which
-    nothing is taken go."""
+    nothing is taken go, null and blank ones among them; equal rows are rows of their own; an empty table stays empty."""
     scratch = Scratch(spark, "mixstage")
     files, schema = stable_files(docs, scratch), docs.schema
     scan = rescan(docs, files)
     where = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
-    made = mix(sized(scan, where.alias("_key")), scratch)
+    # Where a row lies changes from run to run, so that its id and text place it.
+    made = mix(sized(scan, where.alias("_key"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")), scratch, order=("_id", "_hash"))
     taken = made.pieces.groupBy("src", "at").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "n"))).alias("_taken"))
     taken = made.rows.join(taken, ["src", "at"]).select("_key", "_taken", "at", "size")
     full = scan.select(*[F.col(f"`{c}`").alias(f"_in_{c}") for c in docs.columns], where.alias("_key")).join(taken, "_key")
