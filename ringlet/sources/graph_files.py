@@ -27,10 +27,10 @@ def base_name(path: Column) -> Column:
 
 
 def _texts(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
 
 
 def read_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -151,14 +151,14 @@ def split_ids(rows: DataFrame, name: str, splits: tuple[str, ...] = ("train", "v
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
     """id, w, length of JSON files {"strings": {id: {"string", "length"}}}."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     got = F.from_json("value", "strings map<string, struct<string:string,length:int>>")
     return rows.select(F.explode(got["strings"]).alias("id", "s")).select("id", F.col("s.string").alias("w"), F.col("s.length").alias("length"))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """idx, id, label, n, m of JSON files with arrays graph_ids, labels, node_counts, edge_counts."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     got = F.from_json("value", "dataset string, graph_ids array<string>, labels array<string>, node_counts array<int>, edge_counts array<int>")
     each = F.arrays_zip(got["graph_ids"].alias("id"), got["labels"].alias("label"), got["node_counts"].alias("n"), got["edge_counts"].alias("m"))
     return rows.select(got["dataset"].alias("dataset"), F.posexplode(each).alias("idx", "x")).select("dataset", "idx", "x.*")

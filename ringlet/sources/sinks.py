@@ -66,7 +66,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def read_text(spark: SparkSession, path: str) -> str | None:
     p, fs = _fs(spark, path)
-    return spark.read.option("wholetext", True).text(path).first()[0] if fs.exists(p) else None
+    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(p) else None
 
 
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
