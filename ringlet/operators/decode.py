@@ -155,3 +155,44 @@ def fnv1a(text: Column) -> Column:
     start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
     done = F.aggregate(codes, start, step)
     return F.lower(F.concat(F.lpad(F.hex(done["hi"]), 8, "0"), F.lpad(F.hex(done["lo"]), 8, "0")))
+
+
+# Rings and graphs as arrays
+
+
+def ring_inserted(ring: Column, at: Column, value: Column) -> Column:
+    """The ring with a node after position ``at``."""
+    return F.concat(F.slice(ring, F.lit(1), at + 1), F.array(value), F.slice(ring, at + 2, F.size(ring)))
+
+
+def ring_removed(ring: Column, at: Column) -> Column:
+    """The ring without the node at position ``at``."""
+    return F.concat(F.slice(ring, F.lit(1), at), F.slice(ring, at + 2, F.size(ring)))
+
+
+def ring_set(ring: Column, at: Column, value: Column) -> Column:
+    return F.transform(ring, lambda x, k: F.when(k == at, value).otherwise(x))
+
+
+def ring_next(ring: Column, at: Column, steps: int = 1) -> Column:
+    """The position ``steps`` further on, or back if negative."""
+    return F.pmod(at + steps, F.size(ring))
+
+
+def neighbours(edges: Column, node: Column, directed: bool = False) -> Column:
+    """The nodes that a node is joined to, in order."""
+    out = F.transform(F.filter(edges, lambda e: e["u"] == node), lambda e: e["v"])
+    if not directed:
+        out = F.concat(out, F.transform(F.filter(edges, lambda e: e["v"] == node), lambda e: e["u"]))
+    return F.array_sort(F.array_distinct(out))
+
+
+def has_edge(edges: Column, u: Column, v: Column, directed: bool = False) -> Column:
+    there = lambda e: (e["u"] == u) & (e["v"] == v)
+    return F.exists(edges, there if directed else lambda e: there(e) | ((e["u"] == v) & (e["v"] == u)))
+
+
+def with_edge(edges: Column, n: Column, u: Column, v: Column, directed: bool = False) -> Column:
+    """The edges with one more, unless it is there; an end that is no node is an error."""
+    grown = F.when(has_edge(edges, u, v, directed), edges).otherwise(F.concat(edges, F.array(F.struct(u.cast("int").alias("u"), v.cast("int").alias("v")))))
+    return F.when((F.greatest(u, v) < n) & (F.least(u, v) >= 0), grown).otherwise(F.raise_error(F.lit("no such node")))

@@ -323,6 +323,12 @@ def measured(pairs: DataFrame, by: Backend) -> DataFrame:
     return rows.repartition(tasks, "k").mapInPandas(run, f"k long, {RESULT}")
 
 
+def summary(results: DataFrame) -> DataFrame:
+    """method, pairs measured, certified and timed out, and seconds in all and at most: what a backend has done."""
+    count = lambda c: F.count_if(F.col(c))
+    return results.groupBy("method").agg(F.count("*").alias("n"), count("certified").alias("n_certified"), count("timed_out").alias("n_timed_out"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("slowest"))
+
+
 def ladder(pairs: DataFrame, by: Backend, rungs: list[int], least: float = 0.5) -> tuple[list[tuple[int, int, float]], int | None]:
     """Measures the pairs whose larger graph has n nodes, for n in ``rungs``, until less than ``least`` of them are certified:
     (n, pairs, share certified) of each rung, and the last rung that held."""

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlet.functions import statistics
@@ -94,6 +94,41 @@ def agreement(pairs: DataFrame, one: str, two: str, dims: int = 2, permutations:
     return by_dataset(pairs, [one, two], run, "rest double, p double, monotone_r2 double")
 
 
+def correlation_report(pairs: DataFrame, proxies: list[str], reference: str, replicates: int = 200, permutations: int = 99, seed: int = 42) -> DataFrame:
+    """dataset, method, n, pearson, spearman, kendall, ccc, slope, low, high (graphs drawn anew), p (Mantel), p_holm over all rows:
+    how well each proxy distance follows the reference, on the pairs that both know."""
+
+    def run(_: np.ndarray, m: list[np.ndarray]) -> list[tuple]:
+        ref, out = m[-1], []
+        for name, d in zip(proxies, m, strict=False):
+            (x, y), ok = statistics.known_pairs(d, ref)
+            if len(x) < 3 or x.std() == 0 or y.std() == 0:
+                out.append((name, len(x), *[None] * 9))
+                continue
+            rng, n, (i, j) = np.random.default_rng(seed), len(ref), np.triu_indices(len(ref), 1)
+            rho, moved, drawn = statistics.spearman(x, y), 0, []
+            for _turn in range(permutations):
+                to = rng.permutation(n)
+                other = d[to[i], to[j]][ok]
+                fine = np.isfinite(other)
+                moved += statistics.spearman(other[fine], y[fine]) >= rho
+            for _turn in range(replicates):
+                a, b = statistics.drawn_pairs(rng.integers(0, n, n))
+                fine = np.isfinite(d[a, b]) & np.isfinite(ref[a, b])
+                drawn.append(statistics.spearman(d[a, b][fine], ref[a, b][fine]))
+            low, high = np.nanpercentile(drawn, [2.5, 97.5])
+            out.append((name, len(x), statistics.pearson(x, y), rho, statistics.kendall(x, y), statistics.concordance(x, y), statistics.line(x, y).slope, float(low), float(high), (moved + 1) / (permutations + 1), None))
+        return out
+
+    fields = "method string, n long, pearson double, spearman double, kendall double, ccc double, slope double, low double, high double, p double, p_holm double"
+    rows = by_dataset(pairs, [*proxies, reference], run, fields)
+    # Holm over the report's rows, which are datasets times methods.
+    every = Window.orderBy("p", "dataset", "method")
+    known = rows.where("p IS NOT NULL").drop("p_holm").withColumn("_r", F.row_number().over(every)).withColumn("_m", F.count("*").over(Window.partitionBy()))
+    step = F.max(F.col("p") * (F.col("_m") - F.col("_r") + 1)).over(every.rowsBetween(Window.unboundedPreceding, 0))
+    return known.withColumn("p_holm", F.least(step, F.lit(1.0))).drop("_r", "_m").unionByName(rows.where("p IS NULL"))
+
+
 def distances_from(adj: list[int], start: int) -> list[int]:
     """Steps from a node to each, -1 where there is no way."""
     out, seen, ring, step = [-1] * len(adj), 1 << start, 1 << start, 0

@@ -55,7 +55,6 @@ SHARED = {
     "degree_sequence": """SELECT id, node, CAST(sum(d) AS BIGINT) AS degree FROM (SELECT id, CAST(u AS INT) AS node, 1 AS d FROM {bedges} WHERE u <> v UNION ALL SELECT id, CAST(v AS INT), 1 FROM {bedges} WHERE u <> v
         UNION ALL SELECT id, CAST(k AS INT), 0 FROM (SELECT id, {nodes} AS k FROM {bgraphs}) y) x GROUP BY id, node""",
     "degree_array": "SELECT id, {degrees} AS degrees FROM {bgraphs}",
-    "graph_mutations": """SELECT id, CAST(n + 1 AS INT) AS n_nodes, CAST(m + 1 AS INT) AS n_edges, CAST(n AS INT) AS new_node, CAST({degree_of_0} AS INT) AS n_neighbours_of_0 FROM {bgraphs}""",
     "edge_toggles": """SELECT id, CAST(u AS INT) AS u, CAST(v AS INT) AS v, CASE WHEN there = 1 THEN 'drop' ELSE 'add' END AS edit FROM
         (SELECT g.id, g.u, g.v, CASE WHEN e.id IS NULL THEN 0 ELSE 1 END AS there FROM {cells} g LEFT JOIN (SELECT DISTINCT id, u, v FROM {bedges} WHERE u < v) e ON g.id = e.id AND g.u = e.u AND g.v = e.v) x""",
     # Neighbourhood of a string
@@ -96,7 +95,7 @@ _CLOSURE = """size(aggregate(sequence(1, n), array(0), (r, i) -> array_union(r,
 SPARK = {
     "all": "", "log2_choose": "aggregate(sequence(1, m), 0D, (a, k) -> a + log2((n * (n - 1) / 2 - m + k) / k))",
     "log2_factorial": "aggregate(sequence(1, n), 0D, (a, k) -> a + log2(k))", "median_n": "percentile(n, 0.5)",
-    "json": "graph", "nodes": "explode(sequence(0, n - 1))", "degrees": "array_join(d, ',')", "degree_of_0": "size(filter(x, c -> c div 1048576 = 0))",
+    "json": "graph", "nodes": "explode(sequence(0, n - 1))", "degrees": "array_join(d, ',')",
     "cells": "(SELECT id, u, v FROM (SELECT id, explode(flatten(transform(sequence(0, n - 1), a -> transform(filter(sequence(0, n - 1), b -> b > a), b -> struct(a AS u, b AS v))))) AS c FROM {bgraphs}) z LATERAL VIEW inline(array(c)) t AS u, v)",
     "reached": _CLOSURE, "listed_letters": "listagg(c, '') WITHIN GROUP (ORDER BY p)",
     "random": "CAST(conv(substr(md5(concat(CAST(s AS STRING), ':', CAST(p AS STRING))), 1, 8), 16, 10) AS BIGINT)",
@@ -106,7 +105,7 @@ DUCK = {
     "all": ", 'g'", "log2_choose": "(lgamma(n * (n - 1) / 2 + 1) - lgamma(m + 1) - lgamma(n * (n - 1) / 2 - m + 1)) / ln(2)",
     "log2_factorial": "lgamma(n + 1) / ln(2)", "median_n": "quantile_cont(n, 0.5)",
     "json": """concat('{"directed":false,"n":', n, ',"edges":[', array_to_string(list_transform(list_sort(l), lambda c: concat('[', c // 1048576, ',', c % 1048576, ']')), ','), ']}')""",
-    "nodes": "unnest(range(0, n))", "degrees": "array_to_string(d, ',')", "degree_of_0": "len(list_filter(x, lambda c: c // 1048576 = 0))",
+    "nodes": "unnest(range(0, n))", "degrees": "array_to_string(d, ',')",
     "cells": "(SELECT a.id, a.u, b.v FROM (SELECT id, unnest(range(0, n)) AS u FROM {bgraphs}) a JOIN (SELECT id, unnest(range(0, n)) AS v FROM {bgraphs}) b ON a.id = b.id AND a.u < b.v)",
     "reached": "(SELECT count(*) FROM reach WHERE reach.id = thin_graphs.id)",
     "listed_letters": "string_agg(c, '' ORDER BY p)", "random": "CAST('0x' || substr(md5(concat(CAST(s AS VARCHAR), ':', CAST(p AS VARCHAR))), 1, 8) AS BIGINT)",

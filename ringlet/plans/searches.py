@@ -255,6 +255,50 @@ def edge_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", F.size("_i.source").alias("n_entries"), F.size("_e").alias("n_edges"))
 
 
+def graph_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One more node, and an edge from it to node 0; the neighbours of node 0 before and after, and the ring with a node less."""
+    rows = _simple(spark, sf_dir).withColumn("_e", decode.with_edge(F.col("edges"), F.col("n") + 1, F.lit(0), F.col("n")))
+    ring = decode.ring_removed(decode.ring_inserted(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0), F.col("n")), F.col("n"))
+    return rows.select(
+        "id", (F.col("n") + 1).alias("n_nodes"), F.size("_e").alias("n_edges"), F.size(decode.neighbours(F.col("edges"), F.lit(0))).alias("n_before"),
+        F.size(decode.neighbours(F.col("_e"), F.lit(0))).alias("n_after"), decode.has_edge(F.col("_e"), F.col("n"), F.lit(0)).cast("int").alias("joined"), F.size(ring).alias("ring_size"),
+    )
+
+
+def encoder_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each canonical encoder, graphs it encodes and those whose text is the same under other names."""
+    names = ["canonical_graph6", "canonical_sparse6", "least_code", "dfs_code"]
+    graphs = _simple(spark, sf_dir)
+    order = F.transform(F.array_sort(F.expr("transform(sequence(0, n - 1), k -> named_struct('h', md5(concat(id, ':', k)), 'k', k))")), lambda s: s["k"])
+    to = lambda x: (F.array_position(F.col("_q"), x) - 1).cast("int")
+    moved = graphs.withColumn("_q", order).withColumn("edges", F.transform("edges", lambda e: F.struct(to(e["u"]).alias("u"), to(e["v"]).alias("v"))))
+    a = encoders.encodings(graphs, names).select("id", "encoder", "text")
+    b = encoders.encodings(moved, names).select("id", "encoder", F.col("text").alias("_other"))
+    met = a.join(b, ["id", "encoder"]).where("text IS NOT NULL")
+    return met.groupBy("encoder").agg(F.count("*").alias("n"), F.count_if(F.col("text") == F.col("_other")).alias("n_same"))
+
+
+def ged1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs one edge away from each graph, up to isomorphism."""
+    cells = F.expr("flatten(transform(sequence(0, n - 1), a -> transform(filter(sequence(0, n - 1), b -> b > a), b -> named_struct('u', a, 'v', b))))")
+    rows = _simple(spark, sf_dir).select("id", "n", "edges", F.explode(cells).alias("_c"))
+    edges = F.when(F.array_contains("edges", F.col("_c")), F.array_except("edges", F.array("_c"))).otherwise(F.concat("edges", F.array("_c")))
+    each = rows.select(F.struct("id", "_c").alias("_k"), "n", edges.alias("edges")).select(F.to_json("_k").alias("id"), "n", "edges")
+    code = _code(each).select(F.from_json("id", "id long").getField("id").alias("id"), "code")
+    return code.groupBy("id").agg(F.count("*").alias("n_edits"), F.countDistinct("code").alias("n_graphs"))
+
+
+def ged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exact backend did on each graph and the next."""
+    return ged.summary(ged.measured(_neighbours(spark, sf_dir), ged.backend("exact"))).drop("seconds", "slowest")
+
+
+def dataset_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each proxy against the upper bound, within each dataset."""
+    rows = bench_pairs(spark, sf_dir).where("cls_i = cls_j").select(F.col("cls_i").alias("dataset"), "i", "j", "lev", "ham", "lb", "ub")
+    return scaling.correlation_report(rows, ["lev", "ham", "lb"], "ub", replicates=30, permutations=19)
+
+
 #: name -> (query, SQL after the relations' prelude or None).
 SEARCHES: dict[str, tuple[Query, str | None]] = {
     **{f"g2s_{name}": (encoding(name), None) for name in METHODS},
@@ -293,5 +337,10 @@ SEARCHES: dict[str, tuple[Query, str | None]] = {
     "centralities": (centralities, None),
     "lev1_neighbours": (lev1_neighbours, None),
     "graph_source": (graph_source, "SELECT id, n AS n_nodes, len(l)::INT AS n_edges FROM b_g"),
+    "graph_edits": (graph_edits, "SELECT id, n + 1 AS n_nodes, m + 1 AS n_edges, len(list_filter(x, lambda c: c // 1048576 = 0))::INT AS n_before, (len(list_filter(x, lambda c: c // 1048576 = 0)) + 1)::INT AS n_after, 1 AS joined, n AS ring_size FROM bgraphs"),
+    "encoder_invariance": (encoder_invariance, "SELECT encoder, count(*) AS n, count(*) AS n_same FROM bgraphs CROSS JOIN (VALUES ('canonical_graph6'), ('canonical_sparse6'), ('least_code'), ('dfs_code')) AS e(encoder) WHERE encoder <> 'dfs_code' OR m > 0 GROUP BY encoder"),
+    "ged1_neighbours": (ged1_neighbours, None),
+    "ged_summary": (ged_summary, "SELECT 'exact' AS method, count(*) - 1 AS n, count(*) - 1 AS n_certified, 0::BIGINT AS n_timed_out FROM bgraphs"),
+    "dataset_analysis": (dataset_analysis, None),
     "edge_indexes": (edge_indexes, "SELECT id, (2 * len(x))::INT AS n_entries, len(x)::INT AS n_edges FROM bgraphs"),
 }
