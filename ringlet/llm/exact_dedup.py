@@ -12,7 +12,7 @@ again by their whole text.
 Defined results: null text counts as empty; only A-Z are folded; among rows of the
 largest doc_id the one latest by (file, row) stays, so repeated rows leave one; null
 doc_ids lose to any other, and a group of null doc_ids alone keeps one row with a null keep_id;
-an empty table gives an empty result.
+very long texts are compared whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ STATE_CONF = {
     "spark.sql.streaming.metricsEnabled": "false",
 }
 FILES_PER_TRIGGER = 64
+#: Bits that mark the digests that were hit: 8 MB.
+MARKS = 1 << 26
 
 
 def sha256(text: Column) -> Column:
@@ -89,6 +91,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def marked(rows: DataFrame, hits: DataFrame, bits: int = MARKS) -> DataFrame:
+    """The rows whose ``_digest`` may be one of ``hits``: all that are, and few others while hits are much fewer than ``bits``.  The
+    hits' marks are ``bits`` bits in stretches of 32,768, so that what is broadcast has ``bits`` / 8 bytes at most."""
+    place = lambda d: F.pmod(F.xxhash64(d), F.lit(bits))
+    marks = hits.select(place("_digest").alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_marks"))
+    rows = rows.withColumn("_p", place("_digest")).withColumn("_at", F.bitmap_bit_position("_p")).withColumn("_bucket", F.bitmap_bucket_number("_p"))
+    rows = rows.join(F.broadcast(marks), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_marks, cast(_at div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    is_set = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
+    return rows.withColumn("_byte", byte).where(is_set).drop("_p", "_at", "_bucket", "_marks", "_byte")
+
+
 def groups(
     docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_trigger: int = FILES_PER_TRIGGER,
     carry: tuple[str, ...] = (),
@@ -104,10 +118,11 @@ def groups(
     rows = _located(scan, digest, *[F.col(f"`{c}`").alias(f"_carry_{k}") for k, c in enumerate(carry)])
 
     # Full bytes of the digests that were hit: the join's skew can be split; min and max
-    # combine within each task before their exchange, so copies do not pile up.
+    # combine within each task before their exchange, so copies do not pile up.  Texts that no
+    # hit can concern do not enter the exchange.
     hits = state.where("n > 1").select("_digest")
     clash = (
-        rows.select("_digest", "_norm").join(hits, "_digest")
+        marked(rows.select("_digest", "_norm"), hits).join(hits, "_digest")
         .groupBy(F.concat("_digest", F.lit("")).alias("_clash")).agg(F.min("_norm").alias("a"), F.max("_norm").alias("b"))
         .where("a <> b").select("_clash")
     )
@@ -139,7 +154,7 @@ def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, h AS text_sha256
+       row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, h AS text_sha256
 FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
       FROM documents)
 WINDOW w AS (PARTITION BY h)
