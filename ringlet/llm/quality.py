@@ -9,8 +9,8 @@ Fitting uses at most ``MOST`` labelled documents of each class, chosen by hash;
 
 Defined results: null and blank texts have the statistics of the empty text and are scored by
 them; null labels count as none; of several labels of a document the highest holds; with fewer than two
-rows of a class, every score is the share of good rows (0.5 without any); an empty table gives an empty
-result.
+rows of a class, every score is the share of good rows (0.5 without any); very long texts are read whole; columns besides
+doc_id and text play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ Fitting uses at most ``MOST_TOXIC`` + ``MOST_CLEAN`` labelled documents, chosen
 covers every whole text.
 
 Defined results: null and blank texts have no tokens and get the score of no suspicion; labels that are null count
-as none; of several labels of a document the highest holds; with no toxic labels to
-learn from, every score is 0; an empty table gives an empty result.
+as none; of several labels of a document the highest holds; very long texts are tagged whole; columns besides doc_id and text
+play no part; with no toxic labels to learn from, every score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,18 +49,18 @@ def held_out(doc_id: Column, parts: int, which: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, which: int, most: dict[int, int], scratch: Scratch) -> DataFrame:
-    """doc_id, text, label of at most ``most[label]`` (or few more) labelled rows that are not held
-    out, chosen by hash.  The chosen ids are bounded, so they are broadcast."""
+    """doc_id, text, label of at most ``most[label]`` (or few more) labelled documents that are not held
+    out, chosen by hash; of several texts of a document the first in byte order.  The chosen ids are bounded, so they are broadcast."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = scratch.write(known.where(~held_out(F.col("doc_id"), parts, which)), "known")
     there = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     take = F.lit(False)
     for y, n in there.items():
         share = min(1.0, most[y] / n)
-        take |= (F.col("y") == y) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+        take |= (F.col("y") == y) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 53)) < int(share * (1 << 53)))
     chosen = F.broadcast(known.where(take).select(F.col("doc_id").alias("_id"), "y"))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, F.col("doc_id") == F.col("_id"))
-    return scratch.write(rows.select("doc_id", "text", "y").where("text IS NOT NULL"), "sample")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL").join(chosen, F.col("doc_id") == F.col("_id"))
+    return scratch.write(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), "sample")
 
 
 def features(word: str) -> list[str]:
@@ -242,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     rows = sample.select("text", "y").mapInArrow(tidy(pool), "x array<double>, y int").collect()
+    rows.sort()
     crf.pool = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
     return crf
 
