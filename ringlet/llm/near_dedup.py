@@ -5,14 +5,15 @@
    million).  Equal sets are one class from here on.
 2. Star pairs: in every band bucket each class meets the smallest one.  They are verified on
    full sets; links give connected components.
-3. Buckets that still hold several components are cut into blocks, and every pair of blocks
+3. Buckets that still hold several components are cut into blocks, of ``BLOCK`` texts or ``BLOCK_SHINGLES`` shingles at
+   most on average, and every pair of blocks
    goes to one task, which verifies exactly the pairs of different components there and emits
    links only.  A pair that meets in several buckets is taken up in the first.  No bucket is capped,
    and no task holds more than two blocks.
 4. Components again, over all links.
 
-Defined results: null or blank text has an empty set, is linked with nothing and is kept; repeated
-rows are one class; the row that stays is the first by (doc_id, file, row), null doc_ids last; an
+Defined results: null or blank text has an empty set, is linked with nothing and is kept; very long texts are read
+whole; columns besides doc_id and text play no part; repeated rows are one class; the row that stays is the first by (doc_id, file, row), null doc_ids last; an
 empty table gives an empty result.
 """
 
@@ -26,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlet.llm.common import Scratch, give_back, rescan, stable_files, tidy
+from ringlet.llm.common import Scratch, rescan, stable_files, tidy
 from ringlet.llm.shingles import BANDS, COORDS, band_keys, forget, overlap, shingle_set, signature
 
 PERCENT = 75
 #: Signatures of linked sets agree in 96 of 128 coordinates on average; under 64 is 6.5 deviations off.
 LEAST_EQUAL = COORDS // 2
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +81,7 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _verify_blocks(table: pa.Table) -> pa.Table:
     """One pair of blocks of one bucket: links between different components."""
-    key, p, q = (table.column(c)[0].as_py() for c in ("key", "p", "q"))
+    key, p, q = (table.column(c)[0].as_py() for c in ("key", "p", "q"))  # blocks p and q of the bucket of key
     block, cls = np.array(table.column("block")), table.column("cls").to_pylist()
     labels = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
     sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDS)
@@ -117,6 +118,8 @@ def _verify_blocks(table: pa.Table) -> pa.Table:
             if (x := root(labels[i])) != (y := root(labels[j])) and linked(get(i), get(j)):
                 top[x] = y
                 links.append((cls[i], cls[j]))
+    sets.clear()
+    forget()
     return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
 
@@ -177,11 +180,12 @@ def grouped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     # Buckets of three and more that still hold several components, in blocks.
     held = banded.where("m > 2").join(labels, F.col("cls") == F.col("node"), "left")
     held = scratch.write(held.select("key", "band", "cls", "m", F.coalesce("label", "cls").alias("label")), "held")
-    mixed = held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    sizes = classes.select("cls", F.col("n").alias("_n"))
+    mixed = held.join(sizes, "cls").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum("_n").alias("weight")).where("x <> y").select("key", "weight")
     held = scratch.write(held.join(mixed, "key"), "mixed")
     keys = held.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("by_band"))
     keys = keys.select("cls", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.coalesce(F.try_element_at("by_band", b), F.lit(0).cast("long"))).alias("keys"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     parts = held.join(texts.join(keys, "cls"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     parts = parts.withColumn("_x", F.explode(F.sequence(F.lit(0), blocks - 1)))
     parts = parts.withColumn("p", F.least("block", "_x")).withColumn("q", F.greatest("block", "_x"))
