@@ -2,10 +2,10 @@
 
 Tokens are runs between ASCII white space; each is clean or toxic.  Token labels come from the
 document labels: features (a word, or its first 4, 5 or 6 letters) whose share of toxic documents is surely
-above their share of clean ones (Wilson bounds, so the sample's class ratio plays no part) are candidates,
-and a greedy cover takes, one after another, the candidate that explains most toxic documents left; copies
-of one document therefore do not make its other words toxic.  Candidates may occur in clean documents:
-the field weighs them by both.  The field is trained on the whole texts of the sample, cut into windows of
+above their share of clean ones (Wilson bounds, so the sample's class ratio plays no part) are candidates.  Words that are
+candidates are toxic, and a greedy cover takes, one after another, the stem that explains most toxic documents left.  Near
+copies in the sample are left out by a sketch first, so that copies of one document do not make its other words toxic.
+Candidates may occur in clean documents: the field weighs them by both.  The field is trained on the whole texts of the sample, cut into windows of
 tokens, by full-batch gradient steps on its log-likelihood.  Each document is then run through
 forward-backward.  Its score is a logistic of what the marginals add up to (their noisy-or, the two
 largest, how many are high), with coefficients from the same labelled documents; tokens over
@@ -34,10 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringlet.llm.common import Scratch, table, tidy
+from ringlet.llm.shingles import forget, shingle_set
 
 MOST_TOXIC, MOST_CLEAN = 2_000, 4_000
 HASH_BITS, WINDOW, STEPS, RATE, L2 = 18, 24, 60, 0.3, 1e-4
 THRESHOLD, SUSPICIOUS, UNLIKELY, SURE = 0.7, 0.05, 2, 2.5
+_ORDERS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)))
 _SUB = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Tokens whose emissions are remembered (some 25 MB), tokens of a run of documents, windows of a training step.
@@ -97,6 +99,33 @@ def candidates(counted: DataFrame, n_clean: int, n_toxic: int) -> DataFrame:
     return counted.where(bound(F.col("n1"), n_toxic, -SURE) > bound(F.col("n0"), n_clean, SURE))
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and the least shingle under each of four orders."""
+    for batch in batches:
+        out = []
+        for text in batch.column(1):
+            h = shingle_set(text.as_py())
+            out.append([int(((h ^ (h >> np.uint64(29))) * m).min() >> np.uint64(1)) for m in _ORDERS] if len(h) else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "least"])
+
+
+def without_copies(sample: DataFrame, scratch: Scratch) -> DataFrame:
+    """The sample less the rows that share a least shingle with one of a smaller doc_id, as near copies do."""
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.select("doc_id", "text").mapInArrow(tidy(_sketch, forget), f"doc_id {kind}, least array<long>").collect()
+    seen: list[set[int]] = [set() for _ in _ORDERS]
+    kept = []
+    for r in sorted(rows):
+        if not any(x in s for x, s in zip(r.least, seen, strict=False)):
+            kept.append((r.doc_id,))
+        for x, s in zip(r.least, seen, strict=False):
+            s.add(x)
+    if len(kept) == len(rows):
+        return sample
+    ids = sample.sparkSession.createDataFrame(kept, f"doc_id {kind}")
+    return scratch.write(sample.join(F.broadcast(ids), "doc_id"), "fresh")
+
+
 def cover(docs: list[list[str]], clean: dict[str, int], n_clean: int, least: int = 3) -> list[str]:
     """Features that explain the toxic documents, greedily; docs: the candidates in each.
 
@@ -201,6 +230,7 @@ def windows_of(words: list[str], bad: list[bool]) -> tuple[list[str], list[int]]
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, which: int = 1) -> Crf | None:
     """The field learnt from labels of rows that are not held out; None without toxic labels."""
     sample = labelled_sample(docs, labels, "toxic", parts, which, {0: MOST_CLEAN, 1: MOST_TOXIC}, scratch)
+    sample = without_copies(sample, scratch)
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):
         return None
@@ -215,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, parts: int = 3, wh
             yield pa.RecordBatch.from_arrays([pa.array(each, pa.list_(pa.string()))], ["found"])
 
     toxic = sample.where("y = 1").select("text").mapInArrow(tidy(found), "found array<string>").collect()
-    seeds = set(cover([r.found for r in toxic], clean, n.get(0, 0)))
+    words = {f for f in clean if not f.endswith("*")}
+    seeds = words | set(cover([r.found for r in toxic if words.isdisjoint(r.found)], clean, n.get(0, 0)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
