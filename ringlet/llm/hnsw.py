@@ -175,13 +175,18 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(ok & F.col("vec_id").isNotNull()).withColumn("dim", F.size("embedding"))
 
 
+def _tasks(shards: int) -> int:
+    """A fixed number, as adaptive coalescing goes by bytes and shards are few bytes but much work; more than there are shards, as
+    few shards hashed to as many tasks often meet."""
+    return max(shards, min(8 * shards, 4096))
+
+
 def build_index(rows: DataFrame, scratch: Scratch, shard_rows: int | None = None) -> DataFrame:
     """The stored index of ``usable`` rows: one row of flat arrays for each dimension and shard."""
     n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
     shards = max(1, round(n / (shard_rows or max(LEAST_ROWS, min(MOST_ROWS, n // (2 * cores))))))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    # A fixed number of tasks: adaptive coalescing goes by bytes, and would put shards that are few bytes but much work together.
-    dealt = dealt.repartition(shards, "dim", "shard")
+    dealt = dealt.repartition(_tasks(shards), "dim", "shard")
     return scratch.write(dealt.groupBy("dim", "shard").applyInArrow(_index, INDEX), "index")
 
 
@@ -227,7 +232,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEARC
     shards = index.select("dim", "shard")
     asked = shards.join(asked, "dim")
     rows = index.withColumn("block", F.lit(-1)).unionByName(asked, allowMissingColumns=True)
-    rows = rows.repartition(max(shards.count(), 1), "dim", "shard").sortWithinPartitions("dim", "shard", "block")
+    rows = rows.repartition(_tasks(max(shards.count(), 1)), "dim", "shard").sortWithinPartitions("dim", "shard", "block")
     answers = rows.select("dim", "block", "vectors", "ids", "starts", "entry", "links", "queries", "asks", "query_vectors")
     answers = answers.mapInArrow(tidy(lambda it: _answer(it, k, ef)), "query_id long, ask int, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy("score", "vec_id"))
