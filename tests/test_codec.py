@@ -194,3 +194,23 @@ def test_pair_index(spark):
 def test_numbers_in_order_of_id(spark):
     rows = spark.createDataFrame([(i * i * 7,) for i in range(50)], "id long")
     assert [r.idx for r in sorted(pairs.indexed(rows, 100).collect())] == list(range(50))
+
+
+def test_rings_and_graphs_as_columns(spark):
+    frame = spark.createDataFrame([([4, 5, 6], 3, [(0, 1), (2, 1), (2, 2)])], "ring array<int>, n int, edges array<struct<u:int,v:int>>")
+    at = F.lit(1)
+    ring, edges = F.col("ring"), F.col("edges")
+    r = frame.select(
+        decode.ring_inserted(ring, at, F.lit(9)).alias("a"), decode.ring_removed(ring, at).alias("b"), decode.ring_set(ring, at, F.lit(9)).alias("c"), decode.ring_next(ring, F.lit(2)).alias("d"), decode.ring_next(ring, F.lit(0), -1).alias("e"),
+        decode.forward_order(ring, at).alias("f"), decode.neighbours(edges, F.lit(1)).alias("g"), decode.neighbours(edges, F.lit(2), directed=True).alias("h"), decode.has_edge(edges, F.lit(1), F.lit(2)).alias("i"),
+        decode.has_edge(edges, F.lit(1), F.lit(2), directed=True).alias("j"), F.size(decode.with_edge(edges, F.col("n"), F.lit(1), F.lit(2))).alias("k"), F.size(decode.with_edge(edges, F.col("n"), F.lit(0), F.lit(2))).alias("l"),
+    ).first()
+    assert list(r) == [[4, 5, 9, 6], [4, 6], [4, 9, 6], 0, 2, [5, 6, 4], [0, 2], [1, 2], True, False, 3, 4]
+    with pytest.raises(Exception, match="no such node"):
+        frame.select(decode.with_edge(edges, F.col("n"), F.lit(0), F.lit(3))).collect()
+
+
+def test_engine(spark):
+    assert encode.engine(spark) == "catalyst" and encode.engine(spark, "arrow") == "arrow"
+    with pytest.raises(ValueError):
+        encode.engine(spark, "other")

@@ -116,3 +116,25 @@ def test_centrality():
             paths[s, t] = [p for p in ways if len(p) == least]
         want = [sum(sum(u in p[1:-1] for p in ps) / len(ps) for ps in paths.values() if ps) / ((n - 1) * (n - 2)) for u in range(n)]
         assert [c[2] for c in scaling.centrality(n, e)] == pytest.approx(want)
+
+
+def test_correlation_report(spark):
+    pts = np.random.default_rng(6).normal(size=(12, 2))
+    d = S.embedded(pts)
+    noise = np.random.default_rng(7).uniform(size=d.shape)
+    rows = [(g, i, j, float(d[i, j]), float(d[i, j] * 2), float(noise[i, j]), 1.0) for g in (0, 1) for i in range(12) for j in range(i + 1, 12)]
+    frame = spark.createDataFrame(rows, "dataset int, i long, j long, ref double, near double, far double, flat double")
+    got = {(r.dataset, r.method): r for r in scaling.correlation_report(frame, ["near", "far", "flat"], "ref", 20, 19).collect()}
+    assert len(got) == 6 and got[0, "flat"].p is None and got[0, "flat"].n == 66
+    near = got[0, "near"]
+    assert near.spearman == pytest.approx(1) and near.kendall == pytest.approx(1) and near.slope == pytest.approx(0.5) and near.p == 0.05 and near.low > 0.99
+    known = sorted((r.p, r.dataset, r.method) for r in got.values() if r.p is not None)
+    assert [got[k[1:]].p_holm for k in known] == pytest.approx([S.holm([k[0] for k in known])[n] for n in range(4)])
+
+
+def test_timing():
+    from ringlet.functions.timing import timed
+
+    calls = []
+    got = timed(lambda: calls.append(1), runs=5, warm_up=2)
+    assert len(calls) == 7 and got.runs == 5 and 0 <= got.least <= got.median
