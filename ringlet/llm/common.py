@@ -66,9 +66,12 @@ def tidy(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None
 class Scratch:
     """Named intermediate tables below one fresh folder of the shared directory."""
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/ringlet-{what}-{uuid.uuid4().hex[:12]}"
+        Scratch.made.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread ``df``: cuts the lineage, survives lost executors."""
@@ -80,12 +83,18 @@ class Scratch:
         return reader.parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
+        """Delete tables that nothing reads any more; all of them if none is named."""
         jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
             path.getFileSystem(sc.hadoopConfiguration()).delete(path, True)
 
+    @staticmethod
+    def drop_since(count: int) -> None:
+        """Delete the folders made after the first ``count``, once what was built on them is written."""
+        while len(Scratch.made) > count:
+            Scratch.made.pop().drop()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
