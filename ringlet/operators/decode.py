@@ -21,19 +21,26 @@ TO = "".join("NVnCpvPcW"[i % 9] for i in range(len(FROM)))
 #: Parts of a text are numbered below this within it.
 PARTS = 1 << 20
 
-_STEP = """
-named_struct(
- 'ring', CASE c WHEN 'V' THEN array_insert(x.ring, x.p + 2, x.n) WHEN 'v' THEN array_insert(x.ring, x.s + 2, x.n) ELSE x.ring END,
- 'p', CASE c WHEN 'N' THEN (x.p + 1) % size(x.ring) WHEN 'P' THEN (x.p + size(x.ring) - 1) % size(x.ring)
-      WHEN 'v' THEN x.p + IF(x.p > x.s, 1, 0) ELSE x.p END,
- 's', CASE c WHEN 'n' THEN (x.s + 1) % size(x.ring) WHEN 'p' THEN (x.s + size(x.ring) - 1) % size(x.ring)
-      WHEN 'V' THEN x.s + IF(x.s > x.p, 1, 0) ELSE x.s END,
- 'n', x.n + IF(c IN ('V', 'v'), 1, 0),
- 'edges', CASE c WHEN 'V' THEN array_append(x.edges, named_struct('u', x.ring[x.p], 'v', x.n))
-      WHEN 'v' THEN array_append(x.edges, named_struct('u', x.ring[x.s], 'v', x.n))
-      WHEN 'C' THEN array_append(x.edges, named_struct('u', x.ring[x.p], 'v', x.ring[x.s]))
-      WHEN 'c' THEN array_append(x.edges, named_struct('u', x.ring[x.s], 'v', x.ring[x.p])) ELSE x.edges END)
-"""
+
+def _step(x: str) -> str:
+    """SQL of the state after letter c of state x: one branch for each letter makes only what it changes."""
+
+    def state(ring: str = f"{x}.ring", p: str = f"{x}.p", s: str = f"{x}.s", n: str = f"{x}.n", edges: str = f"{x}.edges") -> str:
+        return f"named_struct('ring', {ring}, 'p', {p}, 's', {s}, 'n', {n}, 'edges', {edges})"
+
+    def joined(u: str, v: str) -> str:
+        return f"array_append({x}.edges, named_struct('u', {u}, 'v', {v}))"
+
+    first, second, m = f"{x}.ring[{x}.p]", f"{x}.ring[{x}.s]", f"size({x}.ring)"
+    after = {
+        "N": state(p=f"({x}.p + 1) % {m}"), "P": state(p=f"({x}.p + {m} - 1) % {m}"), "n": state(s=f"({x}.s + 1) % {m}"), "p": state(s=f"({x}.s + {m} - 1) % {m}"),
+        "V": state(f"array_insert({x}.ring, {x}.p + 2, {x}.n)", s=f"{x}.s + IF({x}.s > {x}.p, 1, 0)", n=f"{x}.n + 1", edges=joined(first, f"{x}.n")),
+        "v": state(f"array_insert({x}.ring, {x}.s + 2, {x}.n)", p=f"{x}.p + IF({x}.p > {x}.s, 1, 0)", n=f"{x}.n + 1", edges=joined(second, f"{x}.n")),
+        "C": state(edges=joined(first, second)), "c": state(edges=joined(second, first)),
+    }
+    return "CASE c " + " ".join(f"WHEN '{letter}' THEN {made}" for letter, made in after.items()) + f" ELSE {x} END"
+
+
 _START = f"named_struct('ring', array(0), 'p', 0, 's', 0, 'n', 1, 'edges', cast(array() as array<{EDGE}>))"
 
 #: One snapshot of the state after a step; the edge it made is null where it made none or one that was there.
@@ -74,7 +81,7 @@ def checked(w: str, value: Column) -> Column:
 
 def decoded(w: str = "w") -> Column:
     """struct(ring, p, s, n, edges) of a string column; invalid strings raise."""
-    return checked(w, F.expr(f"aggregate(split({w}, ''), {_START}, (x, c) -> {_STEP})"))
+    return checked(w, F.expr(f"aggregate(split({w}, ''), {_START}, (x, c) -> {_step('x')})"))
 
 
 def graphs(strings: DataFrame) -> DataFrame:
@@ -113,8 +120,7 @@ def traced(w: str = "w", directed: bool = False) -> Column:
     first = f"named_struct('instruction', '', 'ring', array(0), 'p', 0, 's', 0, 'n', 1, 'm', 0, 'created', cast(null as {EDGE}))"
     state = f"named_struct('g', {_START}, 'm', 0, 'log', array({first}))"
     # The new state is made once and named y, as the one element of an array.
-    step = _STEP.replace("x.", "x.g.")
-    grown = f"""transform(array({step}), y -> named_struct('g', y, 'm', x.m + IF({made}, 1, 0),
+    grown = f"""transform(array({_step("x.g")}), y -> named_struct('g', y, 'm', x.m + IF({made}, 1, 0),
       'log', array_append(x.log, {_SNAPSHOT.format(made=made, edge=EDGE)})))[0]"""
     return checked(w, F.expr(f"aggregate(filter(split({w}, ''), c -> c <> ''), {state}, (x, c) -> {grown}, x -> x.log)"))
 
