@@ -56,7 +56,7 @@ SHARED = {
     "first_occurrence": """SELECT w, id, n_copies FROM (SELECT w, id, row_number() OVER (PARTITION BY w ORDER BY cls, id) AS r, count(*) OVER (PARTITION BY w) AS n_copies FROM {bgraphs}) z WHERE r = 1""",
     "split_union": "SELECT w, CAST(count(*) AS BIGINT) AS n FROM (SELECT w FROM {bgraphs} WHERE cls = 0 UNION ALL SELECT w FROM {bgraphs} WHERE cls = 1 UNION ALL SELECT w FROM {bgraphs} WHERE cls = 2) z GROUP BY w",
     "disjoint_difference": "SELECT w FROM {bgraphs} WHERE cls = 0 EXCEPT SELECT w FROM {bgraphs} WHERE cls <> 0",
-    "shared_strings": "SELECT w FROM {bgraphs} WHERE cls = 0 INTERSECT SELECT w FROM {bgraphs} WHERE cls = 1 INTERSECT SELECT w FROM {bgraphs} WHERE cls = 2",
+    "shared_sizes": "SELECT CAST(n AS INT) AS n, CAST(m AS INT) AS m FROM {bgraphs} WHERE cls = 0 INTERSECT SELECT CAST(n AS INT), CAST(m AS INT) FROM {bgraphs} WHERE cls = 1 INTERSECT SELECT CAST(n AS INT), CAST(m AS INT) FROM {bgraphs} WHERE cls = 2",
 }
 SPARK = {f"q{q}": f"percentile(m, 0.{q})" for q in (25, 50, 75)}
 DUCK = {f"q{q}": f"quantile_cont(m, 0.{q})" for q in (25, 50, 75)}
