@@ -26,12 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows to all cores where there are fewer files than cores, as a file may be one row group and thus one task.  A table of
+    many files stays as it is scanned, without an exchange."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows._jdf.inputFiles()) < cores else rows
+
+
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.parts(table(spark, sf_dir, "documents"), "doc_id", "text", DOC_PART, "lang", "source")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return decode.parts(spread(rows), "doc_id", "text", DOC_PART, "lang", "source")
 
 
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.parts(table(spark, sf_dir, "benchmark"), "item_id", "text", BENCH_PART)
+    return decode.parts(spread(table(spark, sf_dir, "benchmark").select("item_id", "text")), "item_id", "text", BENCH_PART)
 
 
 def graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
