@@ -87,8 +87,6 @@ def least_code(n: int, edges: Edges, budget: int | None = None) -> str:
     adj, spent = adjacency(n, edges), 0
     if n <= 1:
         return ""
-    # Orders that still can be least, by (nodes taken in order); alike ones are those with the same rows to every free node.
-    level = {tuple(): ()}
     code: list[str] = []
     orders: list[tuple[int, ...]] = [()]
     for k in range(n):
@@ -108,7 +106,7 @@ def least_code(n: int, edges: Edges, budget: int | None = None) -> str:
                     after.append((*order, v))
         code.append(best or "")
         # Two orders go on alike if the same nodes are taken and each free node has the same row to them.
-        level = {}
+        level: dict[tuple, tuple[int, ...]] = {}
         for order in after:
             free = tuple(sorted((v, "".join("1" if adj[v] >> u & 1 else "0" for u in order)) for v in range(n) if v not in order))
             level.setdefault(free, order)
