@@ -308,7 +308,7 @@ SEARCHES: dict[str, tuple[Query, str | None]] = {
     "fixed_point": (fixed_point, "SELECT id, 1 AS stable FROM b_g"),
     "graph_distance": (graph_distance, None),
     "start_nodes": (start_nodes, None),
-    "optimality_gap": (optimality_gap, None),
+    "greedy_optimality": (optimality_gap, None),
     "ged_of_classes": (ged_of_classes, None),
     "graph_classes": (graph_classes, None),
     "ged_neighbours": (ged_neighbours, _NEXT + """ SELECT k, round(abs(n_i - n_j) + list_sum(list_transform(range(1, greatest(n_i, n_j) + 1), lambda q: abs(coalesce(d_i[q], 0) - coalesce(d_j[q], 0)))) / 2, 1) AS lb, 1 AS inside, 1 AS certified FROM nx"""),

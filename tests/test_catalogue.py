@@ -57,5 +57,5 @@ def test_searches_agree_with_one_another(spark):
     """Canonical classes are those of the canonical codes when loops are left aside, and GED is 0 between no two of them."""
     found = catalogue.QUERIES["ged_of_classes"](spark, DATA).toPandas()
     assert found.certified.all() and (found.distance > 0).all() and (found.lb == found.distance).all()
-    gap = catalogue.QUERIES["optimality_gap"](spark, DATA).toPandas()
+    gap = catalogue.QUERIES["greedy_optimality"](spark, DATA).toPandas()
     assert (gap.gap >= 0).all()
