@@ -172,3 +172,16 @@ def test_alignments_and_symbols(spark):
     assert sum(k != "match" for k, *_ in encoders.alignment("kitten", "sitting")) == 3
     frame = spark.createDataFrame([(["0-1", "1-2"], ["0-1", "2-0", "1-2"]), ([], ["x"])], "a array<string>, b array<string>")
     assert [r[0] for r in frame.select(encoders.symbol_levenshtein(F.col("a"), F.col("b"))).collect()] == [1, 1]
+
+
+def leg(n, length):
+    """A spider: node 0 and n legs of some nodes each."""
+    return 1 + n * length, [(0 if k % length == 0 else k, k + 1) for k in range(n * length)]
+
+
+@pytest.mark.parametrize("n, e", [leg(9, 1), leg(10, 1), leg(16, 1), leg(8, 2)])
+def test_many_embeddings_have_a_depth_first_code(n, e):
+    moved = [(n - 1 - u, n - 1 - v) for u, v in e]
+    here, there = (encoders.ENCODERS["dfs_code"](n, x) for x in (e, moved))
+    assert here.symbols == there.symbols and here.entropy_bits == len(e) * 2 * (n - 1).bit_length()
+    assert encode.same_graph(n, e, *encoders.from_dfs_code([tuple(map(int, s.split("-"))) for s in here.symbols]))
