@@ -185,3 +185,11 @@ def test_many_embeddings_have_a_depth_first_code(n, e):
     here, there = (encoders.ENCODERS["dfs_code"](n, x) for x in (e, moved))
     assert here.symbols == there.symbols and here.entropy_bits == len(e) * 2 * (n - 1).bit_length()
     assert encode.same_graph(n, e, *encoders.from_dfs_code([tuple(map(int, s.split("-"))) for s in here.symbols]))
+
+
+@pytest.mark.parametrize("n, e", [leg(16, 1), leg(8, 2)])
+def test_many_orders_have_a_least_code(n, e):
+    moved = [(n - 1 - u, n - 1 - v) for u, v in e]
+    here, there = (encoders.ENCODERS["least_code"](n, x).text for x in (e, moved))
+    bits = iter(here)
+    assert here == there and encode.same_graph(n, e, n, [(i, j) for j in range(1, n) for i in range(j) if next(bits) == "1"])
