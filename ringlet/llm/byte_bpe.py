@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from ringlet.llm.common import tidy
 
-#: Pre-tokens up to this many characters are remembered, so many in each of two generations, and as many pairs: some 40 MB a worker.
-CACHED_CHARS, CACHED = 48, 131_072
+#: Pre-tokens up to this many characters are remembered, so many in each of two generations, and as many pairs: some 220 MB a worker at most.
+CACHED_CHARS, CACHED = 48, 393_216
+_BIT = [1 << k for k in range(256)]
 #: Rows and characters in one batch that goes back to Spark.
 BATCH_ROWS, BATCH_CHARS = 512, 2_000_000
 
@@ -78,14 +79,14 @@ class RankQueue:
 
 
 class _Pairs(dict):
-    """left << 32 | right -> rank of the two tokens together, or -1."""
+    """left << shift | right -> rank of the two tokens together, or -1."""
 
-    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]):
+    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes], shift: int):
         super().__init__()
-        self.ranks, self.tokens = ranks, tokens
+        self.ranks, self.tokens, self.shift, self.mask = ranks, tokens, shift, (1 << shift) - 1
 
     def __missing__(self, key: int) -> int:
-        rank = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
+        rank = self.ranks.get(self.tokens[key >> self.shift] + self.tokens[key & self.mask], -1)
         if len(self) < CACHED:
             self[key] = rank
         return rank
@@ -121,7 +122,8 @@ class ByteBPE:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"rank file without the single bytes {missing}")
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs = _Pairs(ranks, self.tokens)
+        self.shift = max(ranks.values()).bit_length()
+        self.pairs = _Pairs(ranks, self.tokens, self.shift)
         self.known = _Pieces(self)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -129,31 +131,59 @@ class ByteBPE:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, pairs, queue = len(piece), self.pairs, self.queue
-        push, pop = queue.push, queue.pop
+        n, pairs, shift, queue = len(piece), self.pairs, self.shift, self.queue
+        # The queue's push and pop, written out: calls cost much in short pre-tokens.
+        low, top, buckets = queue.low, 0, queue.buckets
         ids = list(map(self.single.__getitem__, piece))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         left = ids[0]
         for i in range(1, n):
             right = ids[i]
-            if (r := pairs[left << 32 | right]) >= 0:
-                push(r, i - 1)
+            if (r := pairs[left << shift | right]) >= 0:
+                if r in buckets:
+                    buckets[r].append(i - 1)  # in order, so that it stays a heap
+                else:
+                    buckets[r] = [i - 1]
+                    low[r >> 8] |= _BIT[r & 255]
+                    top |= _BIT[r >> 8] if r < 65_536 else 1 << (r >> 8)
             left = right
-        while queue.top:
-            rank, i = pop()
+        while top:
+            a = (top & -top).bit_length() - 1
+            word = low[a]
+            least = word & -word
+            rank = a << 8 | least.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[a] = word = word ^ least
+                if not word:
+                    top &= top - 1
             # Stale: i or its neighbour has been merged away, or the pair differs now.
             left, j = ids[i], after[i]
-            if left < 0 or j >= n or pairs[left << 32 | ids[j]] != rank:
+            if left < 0 or j >= n or pairs[left << shift | ids[j]] != rank:
                 continue
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
+            h = before[i]
             if k < n:
                 before[k] = i
-                if (r := pairs[rank << 32 | ids[k]]) >= 0:
-                    push(r, i)
-            h = before[i]
-            if h >= 0 and (r := pairs[ids[h] << 32 | rank]) >= 0:
-                push(r, h)
+                if (r := pairs[rank << shift | ids[k]]) >= 0:
+                    if r in buckets:
+                        heappush(buckets[r], i)
+                    else:
+                        buckets[r] = [i]
+                        low[r >> 8] |= _BIT[r & 255]
+                        top |= _BIT[r >> 8] if r < 65_536 else 1 << (r >> 8)
+            if h >= 0 and (r := pairs[ids[h] << shift | rank]) >= 0:
+                if r in buckets:
+                    heappush(buckets[r], h)
+                else:
+                    buckets[r] = [h]
+                    low[r >> 8] |= _BIT[r & 255]
+                    top |= _BIT[r >> 8] if r < 65_536 else 1 << (r >> 8)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:

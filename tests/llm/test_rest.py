@@ -147,3 +147,13 @@ def test_repeated_queries_and_copies(spark):
         near = sorted((float(np.sqrt(((u - v) ** 2).sum())), j) for j, u in rows if j != q)[:10]
         want += [(q, k, j, round(s, 9)) for k, (s, j) in enumerate(near, 1)]
     assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got.collect()) == sorted(want)
+
+
+def test_bpe_remembers_many_pretokens(monkeypatch):
+    path, pattern = byte_bpe.tokenizer_file()
+    bpe, merged = byte_bpe.ByteBPE(byte_bpe.load_ranks(path), pattern), []
+    monkeypatch.setattr(bpe, "merge", lambda piece: merged.append(piece) or [0])
+    for _ in range(2):
+        for k in range(300_000):
+            bpe.known[str(k)]
+    assert len(merged) == 300_000
