@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from ringlet.llm.common import tidy
 
-#: Pre-tokens up to this many characters are remembered, so many in each of two generations, and as many pairs: some 220 MB a worker at most.
-CACHED_CHARS, CACHED = 48, 393_216
+#: Pre-tokens up to this many characters are remembered: the latest as objects, more of them packed, so many or so many bytes in each of two generations.
+CACHED_CHARS, LATEST, CACHED, CACHED_BYTES = 48, 65_536, 393_216, 20_000_000
+#: Pairs that are remembered.
+CACHED_PAIRS = 196_608
 _BIT = [1 << k for k in range(256)]
 #: Rows and characters in one batch that goes back to Spark.
 BATCH_ROWS, BATCH_CHARS = 512, 2_000_000
@@ -87,27 +89,72 @@ class _Pairs(dict):
 
     def __missing__(self, key: int) -> int:
         rank = self.ranks.get(self.tokens[key >> self.shift] + self.tokens[key & self.mask], -1)
-        if len(self) < CACHED:
+        if len(self) < CACHED_PAIRS:
             self[key] = rank
         return rank
 
 
+class _Packed:
+    """Pre-tokens and their ids in some 30 bytes each: records of a length byte, the pre-token in UTF-8, a count byte and the ids lie one after
+    another; an open-addressed table holds where they begin, 0 where it is free.  The length in front makes a matching prefix an equal key."""
+
+    def __init__(self, most: int):
+        self.most, self.count, self.records = most, 0, bytearray(1)
+        self.mask = (1 << (2 * most).bit_length()) - 1
+        self.slots = array("I", bytes(4 * (self.mask + 1)))
+
+    @staticmethod
+    def key(piece: bytes) -> bytes:
+        return bytes((len(piece),)) + piece
+
+    def get(self, key: bytes) -> bytes | None:
+        slots, records, mask = self.slots, self.records, self.mask
+        at = hash(key) & mask
+        while start := slots[at]:
+            if records.startswith(key, start):
+                start += len(key)
+                return bytes(records[start + 1 : start + 1 + 4 * records[start]])
+            at = (at + 1) & mask
+        return None
+
+    def full(self) -> bool:
+        return self.count >= self.most or len(self.records) >= CACHED_BYTES
+
+    def put(self, key: bytes, ids: bytes) -> None:
+        """``key`` is absent, and this is not ``full``."""
+        at = hash(key) & self.mask
+        while self.slots[at]:
+            at = (at + 1) & self.mask
+        self.slots[at] = len(self.records)
+        self.records += key
+        self.records.append(len(ids) // 4)
+        self.records += ids
+        self.count += 1
+
+
 class _Pieces(dict):
-    """Pre-token -> its ids; when full, it becomes the older generation, still looked up."""
+    """Pre-token -> its ids.  The latest are kept as they are; behind them are two packed generations: when one is full, it becomes the older."""
 
     def __init__(self, bpe: ByteBPE):
         super().__init__()
-        self.bpe, self.old = bpe, {}
+        self.bpe, self.now, self.old = bpe, _Packed(CACHED), _Packed(0)
 
     def __missing__(self, piece: str) -> bytes:
-        got = self.old.get(piece)
+        data = piece.encode("utf-8")
+        if len(piece) > CACHED_CHARS:
+            return array("I", self.bpe.merge(data)).tobytes()
+        key = _Packed.key(data)
+        got = self.now.get(key)
         if got is None:
-            got = array("I", self.bpe.merge(piece.encode("utf-8"))).tobytes()
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = got
+            got = self.old.get(key)
+            if got is None:
+                got = array("I", self.bpe.merge(data)).tobytes()
+            if self.now.full():
+                self.old, self.now = self.now, _Packed(CACHED)
+            self.now.put(key, got)
+        if len(self) >= min(LATEST, CACHED):
+            self.clear()
+        self[piece] = got
         return got
 
 

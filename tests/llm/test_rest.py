@@ -157,3 +157,29 @@ def test_bpe_remembers_many_pretokens(monkeypatch):
         for k in range(300_000):
             bpe.known[str(k)]
     assert len(merged) == 300_000
+
+
+def test_bpe_remembers_in_little_memory():
+    """Two generations of pre-tokens take under 70 bytes each, and each still gets its own ids."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    merged = []
+    bpe = SimpleNamespace(merge=lambda piece: merged.append(0) or list(piece[-3:]))
+    tracemalloc.start()
+    known, n = byte_bpe._Pieces(bpe), 2 * byte_bpe.CACHED
+    for k in range(n):
+        known[f" é{k:07d}"]
+    used = tracemalloc.get_traced_memory()[0] - merged.__sizeof__()
+    tracemalloc.stop()
+    assert used < 70 * n
+    assert all(list(array("I", known[f" é{k:07d}"])) == list(f"{k:07d}".encode()[-3:]) for k in range(n - 1000, n)) and len(merged) == n
+
+
+def test_bpe_bounds_what_it_remembers_in_bytes():
+    from types import SimpleNamespace
+
+    known = byte_bpe._Pieces(SimpleNamespace(merge=lambda piece: [1] * len(piece)))
+    for k in range(60_000):
+        known[f"{'漢' * 42}{k:06d}"]
+    assert 0 < known.old.count < 60_000 and len(known.old.records) < byte_bpe.CACHED_BYTES + 1000
